@@ -15,35 +15,62 @@ from ._common import cut, lookup
 WINDOW = 128
 #: Rows of a larger bucket that all its rows are compared with, too.
 PIVOTS = 64
+#: Edges that one task joins; more are first contracted across the cluster.
+LOCAL_EDGES = 500_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """(node, comp) of every node of the edges (a, b: long): comp is the same for nodes that are connected, else not.
 
     Each round every node goes to the neighbour (or itself) of the least hash, with another hash each round, and edges
     follow; an edge whose ends meet is gone. The number of nodes falls by a constant factor on average, so rounds grow as
-    the logarithm of the longest chain. Minima are aggregated before they are shuffled, and lookups are salted.
+    the logarithm of the longest chain. Minima are aggregated before they are shuffled, and lookups are salted. Once no
+    more than ``local`` edges are left, one task joins the rest (16 bytes an edge).
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    left = cut(both)
+    ordered = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = cut(ordered.distinct())
     labels: DataFrame | None = None
     step = 0
-    while not left.isEmpty():
-        rank = lambda c, step=step: F.xxhash64(F.col(c), F.lit(step))
-        best = left.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("b"))).alias("_m"))
+    while left.count() > local:
+        rank = lambda c, step=step: F.xxhash64(F.col(c), F.lit(f"round {step}"))
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        best = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("r"), F.col("b").alias("b"))).alias("_m"))
         to = cut(best.select("a", F.when(rank("a") < F.col("_m.r"), F.col("a")).otherwise(F.col("_m.b")).alias("to")))
-        if labels is None:
-            labels = to.select(F.col("a").alias("node"), F.col("to").alias("comp"))
-        else:
-            moved = lookup(labels, "comp", to.withColumnRenamed("a", "comp"), "to")
-            labels = cut(moved.select("node", F.coalesce("to", "comp").alias("comp")))
+        labels = _follow(labels, to.withColumnRenamed("a", "node"))
         ends = lookup(left, "a", to, "to").select("b", F.col("to").alias("x"))
         ends = lookup(ends, "b", to.withColumnRenamed("a", "b"), "to").select(F.col("x").alias("a"), F.col("to").alias("b"))
-        left = cut(ends.filter("a <> b").distinct())
+        left = cut(ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         step += 1
+    return _follow(labels, left.coalesce(1).mapInArrow(_join_all, "node long, to long"))
+
+
+def _follow(labels: DataFrame | None, to: DataFrame) -> DataFrame:
+    """Labels (node, comp) after their comps went where ``to`` (node, to) says."""
     if labels is None:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-    return labels
+        return cut(to.select("node", F.col("to").alias("comp")))
+    moved = lookup(labels, "comp", to.withColumnRenamed("node", "comp"), "to")
+    return cut(moved.select("node", F.coalesce("to", "comp").alias("comp")))
+
+
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over one task's edges: (node, least node of its component)."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (y := up.setdefault(root, root)) != root:
+            root = y
+        while (y := up[x]) != root:
+            up[x], x = root, y
+        return root
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pa.RecordBatch.from_pydict({"node": nodes, "to": [find(x) for x in nodes]}, schema=pa.schema([("node", pa.int64()), ("to", pa.int64())]))
 
 
 def near_in_order(bucket: np.ndarray, prints: list[np.ndarray], size: np.ndarray, most: int, ratio: float, window: int = WINDOW, pivots: int = PIVOTS, climb: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
