@@ -73,8 +73,8 @@ def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"node": nodes, "to": [find(x) for x in nodes]}, schema=pa.schema([("node", pa.int64()), ("to", pa.int64())]))
 
 
-def near_in_order(bucket: np.ndarray, prints: list[np.ndarray], size: np.ndarray, most: int, ratio: float, window: int = WINDOW, pivots: int = PIVOTS, climb: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j, Hamming distance) of rows, sorted by bucket, whose fingerprints differ in at most ``most`` bits and whose sizes are in ratio at least.
+def near_in_order(bucket: np.ndarray, prints: list[tuple[list[np.ndarray], int]], size: np.ndarray, ratio: float, window: int = WINDOW, pivots: int = PIVOTS, climb: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, Hamming distance by the first fingerprint) of rows, sorted by bucket, each of whose fingerprints differs in at most its number of bits and whose sizes are in ratio at least.
 
     A row is compared with all of its bucket, or, in a bucket of more than window + 1, with the ``window`` rows that follow
     it in order and with evenly spaced ``pivots``; and with the ``climb`` next rows whatever their bucket.
@@ -89,12 +89,14 @@ def near_in_order(bucket: np.ndarray, prints: list[np.ndarray], size: np.ndarray
         small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         ok = small >= ratio * large
         i, j = i[ok], j[ok]
-        d = np.zeros(len(i), dtype=np.int64)
-        for p in prints:
-            d += np.bitwise_count(p[i] ^ p[j])
-        ok = d <= most
-        if ok.any():
-            out.append((i[ok], j[ok], d[ok]))
+        first = None
+        for parts, most in prints:
+            d = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in parts)
+            ok = d <= most
+            first = d if first is None else first
+            i, j, first = i[ok], j[ok], first[ok]
+        if len(i):
+            out.append((i, j, first))
 
     here = np.arange(n)
     for off in range(1, window + 1):
@@ -114,14 +116,16 @@ def near_in_order(bucket: np.ndarray, prints: list[np.ndarray], size: np.ndarray
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))  # type: ignore[return-value]
 
 
-def near_pairs(rows: DataFrame, partitions: int, *, shift: int, prints: int, most: int, ratio: float, climb: int = 0, window: int = WINDOW, pivots: int = PIVOTS) -> DataFrame:
-    """Distinct (a, b, distance), a < b, of near rows (tree int, label long, node long, size int, f0, f1, ... long).
+def near_pairs(rows: DataFrame, partitions: int, *, shift: int, prints: list[tuple[list[str], int]], ratio: float, climb: int = 0, window: int = WINDOW, pivots: int = PIVOTS) -> DataFrame:
+    """Distinct (a, b, distance), a < b, of near rows (tree int, label long, node long, size int, and the columns of ``prints``).
+
+    ``prints`` are fingerprints, each of some long columns, and the bits in which each may differ.
 
     Rows are sorted across the cluster by (tree, label, node) in ranges of about equal length, so a hot bucket is spread
     over several tasks and no task holds more than its range; a bucket is the rows of a tree whose labels agree but for
     the lowest ``shift`` bits.
     """
-    names = [f"f{k}" for k in range(prints)]
+    names = [c for columns, _ in prints for c in columns]
     ordered = rows.select("tree", "label", "node", "size", *names).repartitionByRange(partitions, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())])
 
@@ -132,7 +136,8 @@ def near_pairs(rows: DataFrame, partitions: int, *, shift: int, prints: int, mos
         tree, label, node, size, *f = (c.to_numpy() for c in t.columns)
         key = (label.view(np.uint64) >> np.uint64(shift)).astype(np.int64)
         change = np.concatenate([[True], (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])])
-        i, j, d = near_in_order(np.cumsum(change), [x.view(np.uint64) for x in f], size, most, ratio, window, pivots, climb)
+        by_name = {c: x.view(np.uint64) for c, x in zip(names, f, strict=True)}
+        i, j, d = near_in_order(np.cumsum(change), [([by_name[c] for c in columns], most) for columns, most in prints], size, ratio, window, pivots, climb)
         a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
         order = np.lexsort((b, a))
         a, b, d = a[order], b[order], d[order]

@@ -161,7 +161,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = within.count()
     trees, depth = forest_shape(n, similarity, recall)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, ceil(n * trees / TASK_ROWS), 1)
-    pairs = cut(near_pairs(forest(within, trees), parts, shift=64 - depth, prints=2, most=max_bits, ratio=similarity, climb=CLIMB))
+    pairs = cut(near_pairs(forest(within, trees), parts, shift=64 - depth, prints=[(["f0", "f1"], max_bits)], ratio=similarity, climb=CLIMB))
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     where = fresh_path(spark, "shingles")
     shingle_sets(df, nodes.join(used, "node", "left_semi"), id_col, text_col, words).write.parquet(where)
