@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..errors import DocumentStructureError
 from ..schema import NODE_COLUMNS
+from ..storage import settle
 from ..validation import check_element_name
 
 _ALL = ["doc_id", *NODE_COLUMNS]
@@ -23,10 +27,11 @@ def remove(nodes: DataFrame, targets: DataFrame) -> DataFrame:
 def renumber(nodes: DataFrame) -> DataFrame:
     """Dense numbers for rows with ``_key`` (array<long>, the new order within a document); parent_pre refers to the old pre. Texts of elements are gathered anew."""
     w = W.partitionBy("doc_id").orderBy("_key")
-    n = nodes.withColumn("_new", (F.row_number().over(w) - 1).cast("int"))
+    n = settle(nodes.withColumn("_new", (F.row_number().over(w) - 1).cast("int")))
     of = n.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_old"), F.col("_new").alias("_np"))
     n = n.join(of, (F.col("doc_id") == F.col("_d")) & (F.col("parent_pre") == F.col("_old")), "left")
     n = n.select("doc_id", F.col("_new").alias("pre"), "level", F.col("_np").alias("parent_pre"), "kind", "prefix", "local_name", "ns_uri", "value")
+    n = settle(n)
     counts = _descendants(n.select("doc_id", "pre", "level"))
     n = n.join(counts, ["doc_id", "pre"], "left").withColumn("size", F.coalesce("size", F.lit(0)).cast("int"))
     counted = ~F.col("kind").isin("attribute", "namespace", "declaration", "doctype", "document")
@@ -36,16 +41,46 @@ def renumber(nodes: DataFrame) -> DataFrame:
     )
     n = n.join(texts, (F.col("doc_id") == F.col("_td")) & (F.col("pre") == F.col("_tp")), "left")
     value = F.when(F.col("kind") == "element", F.when(F.coalesce("_has", F.lit(0)) == 0, F.coalesce("_text", F.lit("")))).otherwise(F.col("value"))
-    return n.withColumn("value", value).select(*_ALL)
+    return settle(n.withColumn("value", value).select(*_ALL))
 
 
 def _descendants(up: DataFrame) -> DataFrame:
-    """(doc_id, pre, size) of nodes with something below: a subtree ends where the next position of its own depth or less comes."""
-    a, b = up.alias("a"), up.alias("b")
-    # the first later row that is no deeper
-    stop = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.pre") > F.col("a.pre")) & (F.col("b.level") <= F.col("a.level")), "left").groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.pre").alias("pre")).agg(F.min("b.pre").alias("_stop"))
-    last = up.groupBy(F.col("doc_id").alias("_d")).agg((F.max("pre") + 1).alias("_end"))
-    return stop.join(last, F.col("doc_id") == F.col("_d")).select("doc_id", "pre", (F.coalesce("_stop", "_end") - F.col("pre") - 1).alias("size"))
+    """(doc_id, pre, size): rows of a document pass in order, and each counts for those still open above it."""
+    kind = dict(up.dtypes)["doc_id"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, pre, size, stack, last = [], [], [], [], object()
+
+        def close(depth: int, at: int) -> None:
+            while stack and stack[-1][1] >= depth:
+                p, _ = stack.pop()
+                doc.append(last)
+                pre.append(p)
+                size.append(at - p - 1)
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(doc, ids), pa.array(pre, pa.int32()), pa.array(size, pa.int32())], names=["doc_id", "pre", "size"])
+            doc.clear(), pre.clear(), size.clear()
+            return out
+
+        ids, p = None, -1
+        for b in batches:
+            ids = b.schema.field(0).type
+            for d, p_, level in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if d != last:
+                    close(-1, p + 1)
+                    last = d
+                close(level, p_)
+                stack.append((p_, level))
+                p = p_
+            if len(doc) > 50_000:
+                yield batch()
+        if ids is not None:
+            close(-1, p + 1)
+            yield batch()
+
+    ordered = up.repartition("doc_id").sortWithinPartitions("doc_id", "pre")
+    return ordered.mapInArrow(count, f"doc_id {kind}, pre int, size int")
 
 
 def insert(nodes: DataFrame, targets: DataFrame, new: DataFrame, where: str = "last") -> DataFrame:

@@ -189,7 +189,7 @@ class Engine:
 
     @staticmethod
     def _origins(df: DataFrame) -> DataFrame:
-        return df.select("doc_id", *NODE_COLUMNS).dropDuplicates(["doc_id", "pre"])
+        return getattr(df, "_context", df).select("doc_id", *NODE_COLUMNS).dropDuplicates(["doc_id", "pre"])
 
     @staticmethod
     def _match(df: DataFrame, f: Frame, how: str) -> DataFrame:
@@ -198,6 +198,12 @@ class Engine:
 
     # --- values
 
+    @staticmethod
+    def _of(df: DataFrame, context: DataFrame) -> DataFrame:
+        """df, marked as ``context`` with values joined to it: further values start from the bare context, so plans grow by their number and don't double."""
+        df._context = getattr(context, "_context", context)
+        return df
+
     def value(self, e: Node, df: DataFrame) -> tuple[DataFrame, Column, str]:
         """(df with what the value needs joined to it, the value, its kind). df: rows of doc_id and NODE_COLUMNS, the context nodes."""
         if isinstance(e, Literal):
@@ -252,7 +258,7 @@ class Engine:
         if "_attrs" in df.columns:
             return df
         a = self.nodes.filter("kind = 'attribute' and coalesce(ns_uri, '') = ''").groupBy(F.col("doc_id").alias("_ad"), F.col("parent_pre").alias("_ap")).agg(F.map_from_entries(F.collect_list(F.struct("local_name", "value"))).alias("_attrs"))
-        return df.join(a, (F.col("doc_id") == F.col("_ad")) & (F.col("pre") == F.col("_ap")), "left").drop("_ad", "_ap")
+        return self._of(df.join(a, (F.col("doc_id") == F.col("_ad")) & (F.col("pre") == F.col("_ap")), "left").drop("_ad", "_ap"), df)
 
     def _aggregate(self, e: Node, df: DataFrame, agg, empty: Column, strings: bool = False) -> tuple[DataFrame, Column]:
         """df with agg over e's nodes of each row joined to it, or ``empty``."""
@@ -264,13 +270,12 @@ class Engine:
         on = F.col("doc_id") == F.col(name + "d")
         if not f.per_doc:
             on &= F.col("pre") == F.col(name + "o")
-        df = df.join(got, on, "left").drop(name + "d", name + "o")
-        return df, F.coalesce(F.col(name), empty)
+        return self._of(df.join(got, on, "left").drop(name + "d", name + "o"), df), F.coalesce(F.col(name), empty)
 
     def _first(self, e: Node, df: DataFrame) -> tuple[DataFrame, Column, str]:
         if isinstance(e, Path) and not e.absolute and e.start is None and e.steps == (Step("self", Test("node")),):
             name = self.fresh("s")
-            return self.with_string(df).withColumnRenamed("sv", name), F.col(name), "string"
+            return self._of(self.with_string(df).withColumnRenamed("sv", name), df), F.col(name), "string"
         if name := self._attribute(e):
             df = self.with_attributes(df)
             return df, F.coalesce(F.col("_attrs")[name], F.lit("")), "string"
@@ -353,7 +358,7 @@ class Engine:
         on = F.col("doc_id") == F.col(name + "d")
         if not per_doc:
             on &= F.col("pre") == F.col(name + "o")
-        return df.join(got, on, "left").drop(name + "d", name + "o"), F.coalesce(F.col(name), F.lit(False)), "boolean"
+        return self._of(df.join(got, on, "left").drop(name + "d", name + "o"), df), F.coalesce(F.col(name), F.lit(False)), "boolean"
 
     def _call(self, e: Call, df: DataFrame) -> tuple[DataFrame, Column, str]:
         n, kind = e.name, e.kind
@@ -412,7 +417,7 @@ class Engine:
         here = self._origins(df).select("doc_id", F.col("pre").alias(name + "o"))
         near = here.join(scopes, (F.col("doc_id") == F.col("_d")) & (F.col("_p") <= F.col(name + "o")) & (F.col(name + "o") <= F.col("_p") + F.col("_s")))
         got = near.groupBy(F.col("doc_id").alias(name + "d"), name + "o").agg(F.max_by("_v", "_p").alias(name))
-        df = df.join(got, (F.col("doc_id") == F.col(name + "d")) & (F.col("pre") == F.col(name + "o")), "left").drop(name + "d", name + "o")
+        df = self._of(df.join(got, (F.col("doc_id") == F.col(name + "d")) & (F.col("pre") == F.col(name + "o")), "left").drop(name + "d", name + "o"), df)
         v = F.col(name)
         same = (v == wanted) if self.compat else (F.lower(v) == F.lower(wanted)) | F.lower(v).startswith(F.concat(F.lower(wanted), F.lit("-")))
         return df, F.coalesce(same, F.lit(False)), "boolean"

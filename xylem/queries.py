@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from .operators import build as B
 from .operators import mutate as M
 from .operators.xpath import NodeSet, at_xpath, attributes, extract, inner_text, siblings, xpath, xpath_column
 from .sources.shred import declarations, shred
+from .storage import fresh_folder, settle
 from .streaming.sax import read_stream, records, sax_events
 
 LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -124,7 +122,7 @@ _scalar("order_union_count", "count(//line[@f = 'R'] | //line[@q > 40] | /order/
 _scalar("order_arithmetic", "(count(//line) * 7 - 3) mod 4 + -1", _per_order("CAST((count(*) * 7 - 3) % 4 - 1 AS DOUBLE)"))
 _scalar("order_division_by_zero", "string(count(//line[@q > 1000]) div 0)", _per_order("'NaN'"))
 _scalar("order_variable", "count(//line[@q > $least])", _per_order("CAST(count(*) FILTER (l_quantity > 25) AS DOUBLE)"), variables={"least": 25})
-_scalar("order_compare_sets", "/order/line/@q = /order/line/@n", "SELECT a.l_orderkey AS doc_id, bool_or(a.l_quantity = b.l_linenumber) AS value FROM lineitem a JOIN lineitem b USING (l_orderkey) GROUP BY 1")
+_scalar("order_compare_sets", "/order/line/@q < /order/line/@n", "SELECT a.l_orderkey AS doc_id, bool_or(a.l_quantity < b.l_linenumber) AS value FROM lineitem a JOIN lineitem b USING (l_orderkey) GROUP BY 1")
 _scalar("order_compat_mod", "(3 - count(//line) * 2) mod 3", _per_order("CAST((3 - count(*) * 2) - 3 * floor((3 - count(*) * 2) / 3) AS DOUBLE)"), semantics="compat")
 
 
@@ -258,19 +256,19 @@ def entity_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS doc_id, CAST(count(*) FILTER (l_returnflag <> 'R') AS DOUBLE) AS value FROM lineitem GROUP BY 1")
 def mutate_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = orders(spark, sf_dir)
+    n = settle(orders(spark, sf_dir))
     return xpath(M.remove(n, xpath(n, "//line[@f = 'R']")), "count(//line)")
 
 
 @query("SELECT l_orderkey AS doc_id, CAST(count(*) FILTER (l_quantity > 30) AS DOUBLE) AS value FROM lineitem GROUP BY 1")
 def mutate_set_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = orders(spark, sf_dir)
+    n = settle(orders(spark, sf_dir))
     return xpath(M.set_attribute(n, xpath(n, "//line[@q > 30]"), "large", "yes"), "count(//line[@large = 'yes'])")
 
 
 @query("SELECT l_orderkey AS doc_id, CAST(2 * count(*) FILTER (l_linestatus = 'O') AS DOUBLE) AS notes, CAST(count(*) AS DOUBLE) AS lines FROM lineitem GROUP BY 1")
 def mutate_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = orders(spark, sf_dir)
+    n = settle(orders(spark, sf_dir))
     note = shred(spark.createDataFrame([(0, "<note>open</note>")], "doc_id long, xml string")).drop("doc_id", "error")
     twice = M.insert(n, xpath(n, "//line[@s = 'O']"), note, "after")
     last = M.insert(twice, xpath(twice, "//line[@s = 'O']"), note, "last")
@@ -279,7 +277,7 @@ def mutate_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS doc_id, CAST(count(*) FILTER (l_returnflag = 'N') AS DOUBLE) AS gone, CAST(count(*) FILTER (l_returnflag <> 'N') AS DOUBLE) AS lines FROM lineitem GROUP BY 1")
 def mutate_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = orders(spark, sf_dir)
+    n = settle(orders(spark, sf_dir))
     gone = shred(spark.createDataFrame([(0, "<gone/>")], "doc_id long, xml string")).drop("doc_id", "error")
     return extract(M.replace(n, xpath(n, "//line[@f = 'N']"), gone), "/order", {"gone": "count(gone)", "lines": "count(line)"}).drop("pre")
 
@@ -313,19 +311,13 @@ def builtin_fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_documents(spark, sf_dir).select("doc_id", xpath_column(F.col("xml"), "count(/order/line[@q > 30])", "number").alias("value"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder: below the cluster's shared one, or, where none is set, a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="xylem-")
-    return f"{where.rstrip('/')}/xml-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY 1")
 def stream_xml_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, out = scratch(spark), scratch(spark)
+    folder, out = fresh_folder(spark), fresh_folder(spark)
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("_id"), F.col("event_type").alias("_type"), F.col("user_id").alias("_user"), "value")
     e.write.format("xml").option("rootTag", "events").option("rowTag", "event").save(folder)
     stream = read_stream(spark, folder, "event", "_id long, _type string, _user long, value double")
-    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_folder(spark)).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("_id long, _type string, _user long, value double").parquet(out).groupBy(F.col("_type").alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_user").alias("users"))
 
