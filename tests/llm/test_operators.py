@@ -140,6 +140,26 @@ def test_components(spark):
         assert len({comp[k] for k in range(7)}) == 1 and len({comp[k] for k in (20, 21, 22)}) == 1 and comp[0] != comp[20] and set(comp) == {*range(7), 20, 21, 22}
 
 
+def _near_rows(n, labels, seed=4):
+    """Rows of ``labels`` buckets, whose near pairs stand far apart, and all pairs of a bucket that are near."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(-(2**63), 2**63 - 1, n // 2)
+    prints = np.concatenate([base, base ^ 5])
+    rows = [(0, (k % (n // 2)) % labels, k, 10, int(prints[k])) for k in range(n)]
+    u = prints.view(np.uint64)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if rows[i][1] == rows[j][1] and bin(int(u[i] ^ u[j])).count("1") <= 8}
+    return rows, want
+
+
+def test_large_buckets_are_compared_wholly(spark):
+    rows, want = _near_rows(1200, 1)  # near rows stand 600 rows apart, beyond any window
+    df = spark.createDataFrame(rows, "tree int, label long, node long, size int, f long")
+    assert len(want) >= 600
+    for block in (100, 300, 5000):
+        got = G.near_pairs(df, 1, shift=0, prints=[(["f"], 8)], ratio=0.8, block=block).collect()
+        assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+
+
 def test_bpe_is_the_library(odd, none):
     from tokenizers import Tokenizer
 

@@ -6,15 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, lookup
 
-#: Rows after a row in its bucket that it is compared with; a bucket no larger than this is compared wholly.
+#: Buckets of at most so many rows are compared offset by offset, all at once; larger ones row by row, each on its own.
 WINDOW = 128
-#: Rows of a larger bucket that all its rows are compared with, too.
-PIVOTS = 64
+#: Rows of a bucket that are compared within one task, and those of two blocks of it in one step.
+BLOCK = 2048
 #: Edges that one task joins; more are first contracted across the cluster.
 LOCAL_EDGES = 500_000
 
@@ -73,80 +74,133 @@ def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"node": nodes, "to": [find(x) for x in nodes]}, schema=pa.schema([("node", pa.int64()), ("to", pa.int64())]))
 
 
-def near_in_order(bucket: np.ndarray, prints: list[tuple[list[np.ndarray], int]], size: np.ndarray, ratio: float, window: int = WINDOW, pivots: int = PIVOTS, climb: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j, Hamming distance by the first fingerprint) of rows, sorted by bucket, each of whose fingerprints differs in at most its number of bits and whose sizes are in ratio at least.
+def near_in_order(unit: np.ndarray, prints: list[tuple[list[np.ndarray], int]], size: np.ndarray, ratio: float, climb: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, Hamming distance by the first fingerprint) of rows, sorted by unit, each of whose fingerprints differs in at most its number of bits and whose sizes are in ratio at least.
 
-    A row is compared with all of its bucket, or, in a bucket of more than window + 1, with the ``window`` rows that follow
-    it in order and with evenly spaced ``pivots``; and with the ``climb`` next rows whatever their bucket.
+    A row is compared with all of its unit, and with the ``climb`` next rows whatever their unit.
     """
-    n = len(bucket)
-    if n < 2:
-        return (np.zeros(0, np.int64),) * 3
-    last = np.searchsorted(bucket, bucket, side="right") - 1
+    n = len(unit)
+    last = np.searchsorted(unit, unit, side="right") - 1
+    here = np.arange(n)
+    heads = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if n else here
+    length = last[heads] - heads + 1
     out = []
-
-    def compare(i: np.ndarray, j: np.ndarray) -> None:
-        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        ok = small >= ratio * large
-        i, j = i[ok], j[ok]
+    left = here[last - here > 0] if len(heads[length <= WINDOW]) else here[:0]
+    left = left[np.repeat(length, length)[left] <= WINDOW]
+    for off in range(1, WINDOW):
+        left = left[last[left] - left >= off]
+        if not len(left):
+            break
+        out.append(_compare(left, left + off, prints, size, ratio))
+    for off in range(1, min(climb, n - 1) + 1):
+        i = here[: n - off]
+        i = i[last[i] - i < off]
+        out.append(_compare(i, i + off, prints, size, ratio))
+    for s, k in zip(heads[length > WINDOW], length[length > WINDOW], strict=True):
+        i, j, d = near_across(*([([p[s : s + k] for p in parts], most) for parts, most in prints], size[s : s + k]) * 2, ratio)
+        out.append((i[i < j] + s, j[i < j] + s, d[i < j]))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in range(3))  # type: ignore[return-value]
+
+
+def _compare(i: np.ndarray, j: np.ndarray, prints, size: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) that are near, and their distances by the first fingerprint."""
+    ok = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
+    i, j = i[ok], j[ok]
+    first = None
+    for parts, most in prints:
+        d = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in parts)
+        ok = d <= most
+        first = d if first is None else first
+        i, j, first = i[ok], j[ok], first[ok]
+    return i, j, first
+
+
+def near_across(prints, size: np.ndarray, prints_b, size_b: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, distance) as near_in_order's, of all rows i of one block with all rows j of another."""
+    out = []
+    for s in range(0, len(size), 256):
+        near = None
         first = None
-        for parts, most in prints:
-            d = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in parts)
-            ok = d <= most
+        for (parts, most), (parts_b, _) in zip(prints, prints_b, strict=True):
+            d = sum(np.bitwise_count(p[s : s + 256, None] ^ q[None, :]) for p, q in zip(parts, parts_b, strict=True))
             first = d if first is None else first
-            i, j, first = i[ok], j[ok], first[ok]
-        if len(i):
-            out.append((i, j, first))
+            near = d <= most if near is None else near & (d <= most)
+        i, j = np.nonzero(near)
+        d = first[i, j].astype(np.int64)
+        i = i + s
+        ok = np.minimum(size[i], size_b[j]) >= ratio * np.maximum(size[i], size_b[j])
+        out.append((i[ok], j[ok], d[ok]))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in range(3))  # type: ignore[return-value]
 
-    here = np.arange(n)
-    for off in range(1, window + 1):
-        i = here[: n - off] if off <= climb else here[last - here >= off]
-        if not len(i):
-            break
-        compare(i, i + off)
-    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    for s in heads[last[heads] - heads > window]:
-        e = last[s] + 1
-        for p in np.unique(np.linspace(s, e - 1, pivots).astype(np.int64)):
-            i = np.concatenate([np.arange(s, max(s, p - window)), np.arange(min(e, p + window + 1), e)])
-            if len(i):
-                compare(i, np.full(len(i), p))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate([x[k] for x in out]) for k in range(3))  # type: ignore[return-value]
-
-
-def near_pairs(rows: DataFrame, partitions: int, *, shift: int, prints: list[tuple[list[str], int]], ratio: float, climb: int = 0, window: int = WINDOW, pivots: int = PIVOTS) -> DataFrame:
+
+def near_pairs(rows: DataFrame, partitions: int, *, shift: int, prints: list[tuple[list[str], int]], ratio: float, climb: int = 0, block: int = BLOCK) -> DataFrame:
     """Distinct (a, b, distance), a < b, of near rows (tree int, label long, node long, size int, and the columns of ``prints``).
 
     ``prints`` are fingerprints, each of some long columns, and the bits in which each may differ.
 
-    Rows are sorted across the cluster by (tree, label, node) in ranges of about equal length, so a hot bucket is spread
-    over several tasks and no task holds more than its range; a bucket is the rows of a tree whose labels agree but for
-    the lowest ``shift`` bits.
+    Rows are sorted across the cluster by (tree, label, node) in ranges of about equal length; a bucket is the rows of a
+    tree whose labels agree but for the lowest ``shift`` bits. All rows of a bucket are compared. A range compares its
+    buckets in blocks of at most ``block`` rows, each within itself, and hands on the blocks of buckets that have several;
+    blocks of a bucket are then joined with each other, so a hot bucket is spread over the cluster.
     """
     names = [c for columns, _ in prints for c in columns]
     ordered = rows.select("tree", "label", "node", "size", *names).repartitionByRange(partitions, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())])
+    kind = np.dtype([("node", "<i8"), ("size", "<i4"), *((c, "<u8") for c in names)])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32()), ("tree", pa.int32()), ("key", pa.int64()), ("part", pa.int32()), ("block", pa.int32()), ("held", pa.binary())])
+    by = lambda r: [([np.ascontiguousarray(r[c]) for c in columns], most) for columns, most in prints]
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if t is None or not t.num_rows:
-            return
-        tree, label, node, size, *f = (c.to_numpy() for c in t.columns)
-        key = (label.view(np.uint64) >> np.uint64(shift)).astype(np.int64)
-        change = np.concatenate([[True], (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])])
-        by_name = {c: x.view(np.uint64) for c, x in zip(names, f, strict=True)}
-        i, j, d = near_in_order(np.cumsum(change), [([by_name[c] for c in columns], most) for columns, most in prints], size, ratio, window, pivots, climb)
-        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    def batches_of(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = np.minimum(x, y), np.maximum(x, y)
         order = np.lexsort((b, a))
         a, b, d = a[order], b[order], d[order]
         keep = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) & (a != b) if len(a) else np.zeros(0, bool)
         a, b, d = a[keep], b[keep], d[keep].astype(np.int32)
         for k in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (a, b, d)], schema=schema)
+            m = len(a[k : k + 100_000])
+            yield pa.RecordBatch.from_arrays([*(pa.array(v[k : k + 100_000]) for v in (a, b, d)), *(pa.nulls(m, f.type) for f in list(schema)[3:])], schema=schema)
 
-    return ordered.mapInArrow(pair, "a long, b long, distance int").dropDuplicates(["a", "b"])
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if t is None or not t.num_rows:
+            return
+        part = TaskContext.get().partitionId()
+        n = t.num_rows
+        tree, label = (t.column(k).to_numpy() for k in range(2))
+        r = np.empty(n, kind)
+        for c, x in zip(kind.names, t.columns[2:], strict=True):
+            r[c] = x.to_numpy().view(kind[c])
+        key = (label.view(np.uint64) >> np.uint64(shift)).astype(np.int64)
+        heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])]))
+        length = np.diff(np.append(heads, n))
+        number = (np.arange(n) - np.repeat(heads, length)) // block
+        unit = np.cumsum(np.concatenate([[True], (number[1:] != number[:-1]) | np.isin(np.arange(1, n), heads)]))
+        i, j, d = near_in_order(unit, by(r), r["size"], ratio, climb)
+        yield from batches_of(r["node"][i], r["node"][j], d)
+        open_ = length > block
+        for h, m in zip(heads[open_], length[open_], strict=True):
+            for k in range(0, m, block):
+                yield _held(schema, tree[h], key[h], part, k // block, r[h + k : h + min(m, k + block)])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x, y in zip(b.column(0), b.column(1), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), kind) for v in (x, y))
+                i, j, d = near_across(by(x), x["size"], by(y), y["size"], ratio)
+                yield from batches_of(x["node"][i], y["node"][j], d)
+
+    ddl = "a long, b long, distance int, tree int, key long, part int, block int, held binary"
+    out = cut(ordered.mapInArrow(pair, ddl))
+    blocks = out.filter("tree >= 0").select("tree", "key", F.struct("part", "block").alias("at"), "held")
+    ids = blocks.select("tree", "key", "at")
+    two = ids.join(ids.withColumnRenamed("at", "to"), ["tree", "key"]).filter("at < to")
+    with_a = two.join(blocks.withColumnRenamed("held", "x"), ["tree", "key", "at"])
+    both = with_a.join(blocks.withColumnRenamed("at", "to").withColumnRenamed("held", "y"), ["tree", "key", "to"])
+    found = out.filter("held is null").unionByName(both.select("x", "y").mapInArrow(across, ddl))
+    return found.select("a", "b", "distance").dropDuplicates(["a", "b"])
+
+
+def _held(schema: pa.Schema, tree: int, key: int, part: int, block: int, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": [None], "b": [None], "distance": [None], "tree": [int(tree)], "key": [int(key)], "part": [part], "block": [block], "held": [rows.tobytes()]}, schema=schema)
 
 
 def linked(pairs: DataFrame, verify, best: int = 3) -> DataFrame:
