@@ -160,6 +160,15 @@ def test_large_buckets_are_compared_wholly(spark):
         assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
 
 
+def test_buckets_and_next_rows_cross_ranges(spark):
+    rows, want = _near_rows(600, 20)
+    df = spark.createDataFrame(rows, "tree int, label long, node long, size int, f long")
+    pairs = lambda parts, climb: {(r["a"], r["b"]) for r in G.near_pairs(df, parts, shift=0, prints=[(["f"], 26)], ratio=0.8, climb=climb).collect()}
+    assert want <= pairs(7, 0)
+    for climb in (0, 3):
+        assert pairs(1, climb) == pairs(7, climb) == pairs(300, climb)
+
+
 def test_bpe_is_the_library(odd, none):
     from tokenizers import Tokenizer
 

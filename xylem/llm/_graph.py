@@ -140,8 +140,10 @@ def near_pairs(rows: DataFrame, partitions: int, *, shift: int, prints: list[tup
 
     Rows are sorted across the cluster by (tree, label, node) in ranges of about equal length; a bucket is the rows of a
     tree whose labels agree but for the lowest ``shift`` bits. All rows of a bucket are compared. A range compares its
-    buckets in blocks of at most ``block`` rows, each within itself, and hands on the blocks of buckets that have several;
-    blocks of a bucket are then joined with each other, so a hot bucket is spread over the cluster.
+    buckets in blocks of at most ``block`` rows, each within itself, and hands on the blocks of buckets that have several,
+    and of its first and last bucket, which neighbouring ranges may hold, too; blocks of a bucket are then joined with
+    each other, each two in a task of their own, so a hot bucket is spread over the cluster. The ``climb`` next rows of a
+    range's last ones are found in the same way, so pairs don't depend on where ranges end.
     """
     names = [c for columns, _ in prints for c in columns]
     ordered = rows.select("tree", "label", "node", "size", *names).repartitionByRange(partitions, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
@@ -177,9 +179,26 @@ def near_pairs(rows: DataFrame, partitions: int, *, shift: int, prints: list[tup
         i, j, d = near_in_order(unit, by(r), r["size"], ratio, climb)
         yield from batches_of(r["node"][i], r["node"][j], d)
         open_ = length > block
+        open_[[0, -1]] = True
         for h, m in zip(heads[open_], length[open_], strict=True):
             for k in range(0, m, block):
                 yield _held(schema, tree[h], key[h], part, k // block, r[h + k : h + min(m, k + block)])
+        if climb:
+            edge = np.unique(np.concatenate([np.arange(min(climb, n)), np.arange(max(0, n - climb), n)]))
+            yield _held(schema, -1, 0, part, 0, r[edge])
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Next rows of each range's last ones, in the ranges that follow: of all ranges the first and last rows."""
+        held = sorted(((p, v) for b in batches for p, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+        if not held:
+            return
+        edges = [np.frombuffer(v, kind) for _, v in held]
+        r = np.concatenate(edges)
+        part = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
+        for off in range(1, climb + 1):
+            i = np.arange(max(0, len(r) - off))
+            i = i[part[i] != part[i + off]]
+            yield from batches_of(*(lambda i, j, d: (r["node"][i], r["node"][j], d))(*_compare(i, i + off, by(r), r["size"], ratio)))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,6 +215,8 @@ def near_pairs(rows: DataFrame, partitions: int, *, shift: int, prints: list[tup
     with_a = two.join(blocks.withColumnRenamed("held", "x"), ["tree", "key", "at"])
     both = with_a.join(blocks.withColumnRenamed("at", "to").withColumnRenamed("held", "y"), ["tree", "key", "to"])
     found = out.filter("held is null").unionByName(both.select("x", "y").mapInArrow(across, ddl))
+    if climb:
+        found = found.unionByName(out.filter("tree = -1").select("part", "held").coalesce(1).mapInArrow(stitch, ddl))
     return found.select("a", "b", "distance").dropDuplicates(["a", "b"])
 
 
