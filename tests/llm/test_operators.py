@@ -99,6 +99,31 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.dedup_lines(odd).count() == len(ODD) and line_dedup.dedup_lines(none).count() == 0
 
 
+def test_similar_lines_of_other_word_pairs_are_found(spark):
+    rng = np.random.default_rng(8)
+    word = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
+    first = [(" ".join([word(16), c := word(2), word(16)]), c) for _ in range(40)]
+    docs = [(2 * i + k, line if k == 0 else line.replace(f" {c} ", " zz ")) for i, (line, c) in enumerate(first) for k in range(2)]  # the short word in the middle is changed: 2 of 2 word pairs, 1 of 3 words
+    nodes = [line_dedup._lines([t])[4][0] for _, t in docs]
+    near = [i for i in range(40) if int(np.bitwise_count(nodes[2 * i] ^ nodes[2 * i + 1])) <= line_dedup.MAX_BITS and (line_dedup.block_keys(np.array(nodes[2 * i : 2 * i + 2]), 4)[0] == line_dedup.block_keys(np.array(nodes[2 * i : 2 * i + 2]), 4)[1]).any()]
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).filter("n_dropped = 1").collect()}
+    assert near and got == {2 * i + 1 for i in near}
+
+
+def test_gram_filter_keeps_every_similar_pair():
+    rng = np.random.default_rng(9)
+    x, y, most = [], [], []
+    for _ in range(400):
+        a = list("".join(rng.choice(list("abcde é"), int(rng.integers(1, 120)))))
+        b = list(a)
+        for _ in range(k := int(0.2 * len(a))):
+            i = int(rng.integers(0, len(b) + 1))
+            b[i : i + int(rng.integers(0, 2))] = ["z"] * int(rng.integers(0, 2))
+        x, y, most = [*x, "".join(a)], [*y, "".join(b)], [*most, k]
+    assert line_dedup.may_be_similar(x, y, np.array(most)).all()
+    assert not line_dedup.may_be_similar(["abcdefghij" * 9], ["klmnopqrst" * 9], np.array([18])).any()
+
+
 def test_pii(spark, odd, none):
     text = 'a.b@c.example.org 10.0.0.1 300.1.1.1 4111 1111 1111 1111 +49 (030) 123-4567 token = "9f86d081884c7d659a2feaa0c55ad015"'
     r = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
