@@ -28,16 +28,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that of the largest doc_id."""
-    ids = near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(ids.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class of near duplicates: that of the largest doc_id. Of rows equal in id and text, one."""
+    kept = near_duplicates(_keyed(docs), "_key").filter("kept").select(F.col("_key.doc_id").alias("_id"), F.lower(F.hex("_key.sha")).alias("_sha"))
+    return _of_kept(docs, kept)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no passage of ``benchmark``."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = found.filter("doc_id is not null").select("doc_id").distinct()
-    return docs.join(ids.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    found = contamination(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key").select("_key").distinct()
+    return _keyed(docs).join(found.hint("shuffle_hash"), "_key", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +44,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_digests(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key: doc_id, which may be null or repeat, and the text's digest. It is never null."""
+    return docs.withColumn("_key", F.struct("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha")))
+
+
 def _of_kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose (doc_id, digest) is in kept (_id, _sha); of rows equal in these, one."""
     signed = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))

@@ -272,3 +272,19 @@ def test_pipeline_like_brute_force(spark, tmp_path):
     norm = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     passages = [norm(r["text"]) for r in table(spark, sf, "benchmark").collect()]
     assert not any(p in norm(docs[i]) for i in got for p in passages)
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    text = lambda: [f"w{k}" for k in rng.integers(0, 5000, 300)]
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda w: " ".join([*w[:150], "changed", *w[151:]])
+    rows = [(5, " ".join(a)), (5, near(a)), (None, " ".join(b)), (None, near(b)), (7, " ".join(c)), (7, " ".join(d)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], (r["text"] or "")[:20]) for r in corpus_pipeline.near(spark, docs, "").collect())
+    assert got == {(5, rows[0][1][:20]): 1, (None, rows[2][1][:20]): 1, (7, rows[4][1][:20]): 1, (7, rows[5][1][:20]): 1, (None, ""): 1}
+    spark.createDataFrame([(1, " ".join(b[20:60])), (2, " ".join(c[20:60]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in left) == collections.Counter([rows[0], rows[1], rows[5], rows[6]])
