@@ -104,3 +104,13 @@ def test_builder_escapes(spark):
     assert got == '<x u="q&quot;">a&lt;b<![CDATA[]]]]><![CDATA[>]]></x>'
     with pytest.raises(X.DocumentStructureError):
         B.document(B.el("a"), B.el("b"))
+
+
+def test_declarations_after_a_long_prolog(spark):
+    from xylem.sources.shred import declarations
+
+    long = '<?xml version="1.0" encoding="utf-8"?>\n<!-- ' + "licence <!DOCTYPE no> " * 400 + "-->\n" + "<?pi a > b?>\n" * 3000
+    rows = [(1, long + '<!DOCTYPE r PUBLIC "-//x" "y.dtd"><r/>'), (2, long + "<r><![CDATA[<!DOCTYPE no>]]></r>"), (3, "<!DOCTYPE " + "n" * 5000 + ' SYSTEM "s.dtd"><r/>'), (4, "<r/>"), (5, None)]
+    got = {r["doc_id"]: r for r in declarations(spark.createDataFrame(rows, "doc_id long, xml string")).collect()}
+    assert [got[1][k] for k in ("version", "doctype_name", "external_id", "system_id")] == ["1.0", "r", "-//x", "y.dtd"]
+    assert got[2]["doctype_name"] is None and got[3]["doctype_name"] == "n" * 5000 and got[3]["system_id"] == "s.dtd" and got[4]["doctype_name"] is None

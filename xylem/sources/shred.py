@@ -259,10 +259,11 @@ def check_root(nodes: DataFrame) -> DataFrame:
 
 
 def declarations(df: DataFrame, id_col: str = "doc_id", markup_col: str = "xml") -> DataFrame:
-    """(doc_id, has_declaration, version, encoding, standalone, doctype_name, external_id, system_id), read off the text's head without scanning the rest."""
-    head = F.trim(F.substring(markup_col, 1, 4096))
+    """(doc_id, has_declaration, version, encoding, standalone, doctype_name, external_id, system_id), read off the prolog, whatever its length, without scanning the rest."""
+    head = F.trim(markup_col)
     part = lambda name: F.nullif(F.regexp_extract(head, rf"^<\?xml[^>]*\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
-    doctype = r"<!DOCTYPE\s+([^\s>\[]+)(?:\s+PUBLIC\s+[\"']([^\"']*)[\"'])?(?:\s+SYSTEM)?(?:\s*[\"']([^\"']*)[\"'])?"
+    before = r"^(?:[^<]++|<!--(?s:.*?)-->|<\?(?s:.*?)\?>|<\?[^>]*+>)*+"  # possessive, so that a prolog of any length is a loop and not a recursion
+    doctype = before + r"<!DOCTYPE\s+([^\s>\[]+)(?:\s+PUBLIC\s+[\"']([^\"']*)[\"'])?(?:\s+SYSTEM)?(?:\s*[\"']([^\"']*)[\"'])?"
     named = lambda k: F.nullif(F.regexp_extract(head, doctype, k), F.lit(""))
     return df.select(F.col(id_col).alias("doc_id"), head.startswith("<?xml").alias("has_declaration"), part("version").alias("version"), part("encoding").alias("encoding"), part("standalone").alias("standalone"), named(1).alias("doctype_name"), named(2).alias("external_id"), named(3).alias("system_id"))
 
