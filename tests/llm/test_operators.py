@@ -225,6 +225,19 @@ def test_license_join_is_the_brute_force(spark, odd, none):
     assert license_scan(odd).count() == len(ODD) and license_scan(none).count() == 0
 
 
+def test_license_notices_may_be_wrapped(spark):
+    import textwrap
+
+    from xylem.llm.license_scan import TEMPLATES
+
+    rows = [(k, "int main;\n\n" + textwrap.fill(t, width, initial_indent=" * ", subsequent_indent=" * ") + "\nint x;") for k, (_, t) in enumerate(TEMPLATES) for width in (40, 75)]
+    for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert TEMPLATES[r["doc_id"]][0] in r["labels"].split(",") and any(b["label"] == TEMPLATES[r["doc_id"]][0] and b["score"] == 1 and b["line"] == 2 for b in r["blocks"])
+    apart = "\n".join(w + " filler" * 3 for w in TEMPLATES[1][1].split())  # all its words, but far apart
+    r = license_scan(spark.createDataFrame([(1, apart), (2, "Released under\nthe MIT License.\n\nReleased under the\nMIT License.")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert r[0]["blocks"] == [] and [(b["line"], b["score"]) for b in r[1]["blocks"]] == [(0, 1.0), (3, 1.0)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     f = token_shards.Feistel(n)

@@ -50,6 +50,7 @@ class Template:
     label: str
     tokens: tuple[bytes, ...]  # distinct, rarest in the corpus first
     need: int
+    span: int = 0  # words of the longest run that may cross lines
 
     @property
     def prefix(self) -> tuple[bytes, ...]:
@@ -63,7 +64,7 @@ def order_templates(templates, counts: dict[bytes, int], threshold: float = CONT
     for label, text in templates:
         tokens = sorted(set(words_of(text)), key=lambda w: (counts.get(w, 0), w))
         if tokens:
-            out.append(Template(label, tuple(tokens), max(1, ceil(threshold * len(tokens) - 1e-9))))
+            out.append(Template(label, tuple(tokens), max(1, ceil(threshold * len(tokens) - 1e-9)), ceil(len(words_of(text)) / threshold - 1e-9)))
     return out
 
 
@@ -94,6 +95,37 @@ class Matcher:
         return out
 
 
+def wrapped(lines: list[list[bytes]], template: Template, alone: dict[int, int]) -> list[tuple[int, int]]:
+    """(line, number of the template's tokens) of the runs of words over several lines that reach what the template needs.
+
+    A run has at most ``span`` words: the template's length divided by the threshold. Of runs that overlap the fullest counts,
+    unless a line it touches holds as many by itself (``alone``).
+    """
+    tokens, at, hits = frozenset(template.tokens), 0, []
+    for i, line in enumerate(lines):
+        hits += [(at + p, i, w) for p, w in enumerate(line) if w in tokens]
+        at += len(line)
+    held: Counter[bytes] = Counter()
+    found: list[tuple[int, int, int, int]] = []  # first and last place, line, number
+    z = 0
+    for h, (place, line, word) in enumerate(hits):
+        while z < len(hits) and hits[z][0] < place + template.span:
+            held[hits[z][2]] += 1
+            z += 1
+        if (n := len(held)) >= template.need:
+            seen: set[bytes] = set()
+            end, last, _ = next(x for x in hits[h:z] if seen.add(x[2]) or len(seen) == n)  # where the last of them stands first
+            if last > line and n > max(alone.get(i, 0) for i in range(line, last + 1)):
+                if not found or found[-1][1] < place:
+                    found.append((place, end, line, n))
+                elif n > found[-1][3]:
+                    found[-1] = (place, end, line, n)
+        held[word] -= 1
+        if not held[word]:
+            del held[word]
+    return [(line, n) for _, _, line, n in found]
+
+
 def document_counts(df: DataFrame, vocabulary: set[bytes], text_col: str = "text") -> dict[bytes, int]:
     """Of each word of the vocabulary the number of df's documents that hold it. What comes to the driver is as large as the vocabulary."""
     arrow_rows(df.sparkSession)
@@ -130,16 +162,17 @@ def phrase_places(words: list[bytes], phrases) -> list[list[int]]:
 
 
 def license_scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES, threshold: float = CONTAINMENT) -> DataFrame:
-    """Scans every whole text for license phrases, and joins its blocks (lines) with the license templates.
+    """Scans every whole text for license phrases, and joins its blocks with the license templates.
 
-    The join is exact: every block that holds at least ``threshold`` of a template's distinct words counts. Tokens are
+    Blocks are the lines, and runs of words over several lines (a wrapped notice) of at most the template's number of words
+    divided by the threshold. The join is exact: every block that holds at least ``threshold`` of a template's distinct words counts. Tokens are
     ordered by the number of documents in df that hold them, so prefixes consist of the rarest. Templates are a list in the
     code, so they travel with the tasks; a first pass counts their words alone.
 
     Returns id_col, n_words, n_base (places of all phrases), first_word and last_word (smallest and largest start of a
     place, in words; else null), base_labels, labels (with the templates'; both distinct, sorted, comma-joined, else
     empty), score (1 with a phrase; else the largest share of a template in a block that reaches the threshold; else 0),
-    blocks (array of line, label, score). Null texts count as empty, with 0 words; ids may repeat or be null.
+    blocks (array of line, its first, label, score). Null texts count as empty, with 0 words; ids may repeat or be null.
     """
     arrow_rows(df.sparkSession)
     vocabulary = {w for _, t in templates for w in words_of(t)}
@@ -160,11 +193,16 @@ def license_scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
                 places = [p for f in found for p in f]
                 base = {x for x, f in zip(phrase_labels, found, strict=True) if f}
                 blocks = []
-                if matcher.match(held):  # a block can't hold more of a template than the whole text does
-                    for i, line in enumerate(t.encode("utf-8", "surrogatepass").translate(_LINES).split(b"\n")):
-                        for k, n in matcher.match(set(line.split())):
-                            x = matcher.templates[k]
-                            blocks.append({"line": i, "label": x.label, "score": n / len(x.tokens)})
+                if whole := matcher.match(held):  # a block can't hold more of a template than the whole text does
+                    lines = [line.split() for line in t.encode("utf-8", "surrogatepass").translate(_LINES).split(b"\n")]
+                    alone: dict[int, dict[int, int]] = {k: {} for k, _ in whole}
+                    for i, line in enumerate(lines):
+                        for k, n in matcher.match(set(line)):
+                            alone[k][i] = n
+                    met = [(i, k, n) for k, own in alone.items() for i, n in (*own.items(), *wrapped(lines, matcher.templates[k], own))]
+                    for i, k, n in sorted(met):
+                        x = matcher.templates[k]
+                        blocks.append({"line": i, "label": x.label, "score": n / len(x.tokens)})
                 labels = base | {x["label"] for x in blocks}
                 score = 1.0 if base else max([x["score"] for x in blocks], default=0.0)
                 rows.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, blocks))
