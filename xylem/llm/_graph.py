@@ -1,4 +1,4 @@
-"""Connected components, and pairs of near fingerprints from sorted buckets."""
+"""Connected components, and pairs of near fingerprints from buckets."""
 
 from __future__ import annotations
 
@@ -6,18 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, lookup
+from ._words import mix
 
-#: Buckets of at most so many rows are compared offset by offset, all at once; larger ones row by row, each on its own.
-WINDOW = 128
-#: Rows of a bucket that are compared within one task, and those of two blocks of it in one step.
-BLOCK = 2048
-#: Edges that one task joins; more are first contracted across the cluster.
-LOCAL_EDGES = 500_000
+#: Slots that buckets are hashed to: their counts are what the driver plans tasks by, so at most 2^22 numbers reach it.
+SLOTS = (1 << 10, 1 << 22)
+#: Rows in a task, and rows of a slot beyond which it is split.
+TASK_ROWS, SPLIT_ROWS = 1 << 19, 1 << 20
+#: Nodes that a task scatters at a time, and rows of a group that are compared with those of their size at a time.
+CHUNK, STEP = 1 << 16, 64
+#: Edges that one task joins (some 60 bytes each); more are first contracted across the cluster.
+LOCAL_EDGES = 2_000_000
 
 
 def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
@@ -54,174 +56,236 @@ def _follow(labels: DataFrame | None, to: DataFrame) -> DataFrame:
 
 
 def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over one task's edges: (node, least node of its component)."""
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while (y := up.setdefault(root, root)) != root:
-            root = y
-        while (y := up[x]) != root:
-            up[x], x = root, y
-        return root
-
-    for b in batches:
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x, y = find(x), find(y)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-    nodes = list(up)
-    yield pa.RecordBatch.from_pydict({"node": nodes, "to": [find(x) for x in nodes]}, schema=pa.schema([("node", pa.int64()), ("to", pa.int64())]))
-
-
-def near_in_order(unit: np.ndarray, prints: list[tuple[list[np.ndarray], int]], size: np.ndarray, ratio: float, climb: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j, Hamming distance by the first fingerprint) of rows, sorted by unit, each of whose fingerprints differs in at most its number of bits and whose sizes are in ratio at least.
-
-    A row is compared with all of its unit, and with the ``climb`` next rows whatever their unit.
+    """Of one task's edges: (node, least node of its component)."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    nodes, ends = np.unique(np.concatenate([x for pair in zip(*held, strict=True) for x in pair]), return_inverse=True)
+    a, b = ends[: len(ends) // 2], ends[len(ends) // 2 :]
+    up = least_of_components(len(nodes), a, b)
+    for k in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + 100_000]), pa.array(nodes[up[k : k + 100_000]])], names=["node", "to"])
+
+
+def least_of_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes, the least node that the edges (a, b) connect it with: roots are hooked below lesser ones, and paths halved, until no edge joins two."""
+    up = np.arange(n)
+    while len(a):
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+        a, b = up[a], up[b]
+        a, b = a[a != b], b[a != b]
+    return up
+
+
+class Buckets:
+    """What puts rows into buckets and groups. ``masks`` (keys, 2): rows whose 128-bit prints agree in all bits of a mask surely share a group."""
+
+    masks: np.ndarray
+    #: Pairs that differ in at most so many bits and agree in a mask are found by its key, in large groups, too.
+    sure: int = 128
+
+    def of(self, prints: np.ndarray) -> np.ndarray:
+        """(n, keys) numbers (uint64) of the buckets of (n, 2) prints."""
+        raise NotImplementedError
+
+    def key(self, bucket: np.ndarray) -> np.ndarray:
+        """The key of each bucket."""
+        raise NotImplementedError
+
+    def groups(self, bucket: np.ndarray, prints: np.ndarray, wholly: bool) -> np.ndarray:
+        """A number for each row of buckets held here (all of their rows, if ``wholly``): rows of the same bucket and group are compared."""
+        return bucket
+
+    def parts(self, prints: np.ndarray, bucket: int) -> np.ndarray | None:
+        """For a large group of a bucket, (n, keys) of a finer search that keeps its guarantee; None where there is none."""
+        return None
+
+
+def near_within(group: np.ndarray, size: np.ndarray, prints: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i, j, Hamming distance) of rows of a group whose (n, 2) prints differ in at most ``most`` bits and whose sizes are in ratio at least.
+
+    Rows are ordered by group and size, so each is compared only with those that follow it up to its size over the ratio:
+    in long groups STEP rows at a time with all that any of them needs, in short ones pair by pair.
     """
-    n = len(unit)
-    last = np.searchsorted(unit, unit, side="right") - 1
-    here = np.arange(n)
-    heads = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if n else here
-    length = last[heads] - heads + 1
+    order = np.lexsort((size, group))
+    group, size, f, g = group[order], size[order], np.ascontiguousarray(prints[order, 0]), np.ascontiguousarray(prints[order, 1])
+    n = len(group)
+    if n < 2:
+        return (np.zeros(0, np.int64),) * 3
+    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    length = np.diff(np.append(heads, n))
     out = []
-    left = here[last - here > 0] if len(heads[length <= WINDOW]) else here[:0]
-    left = left[np.repeat(length, length)[left] <= WINDOW]
-    for off in range(1, WINDOW):
-        left = left[last[left] - left >= off]
-        if not len(left):
+    short = np.repeat(length <= STEP, length)
+    here = np.flatnonzero(short)
+    end = np.repeat(heads + length, length)
+    for off in range(1, STEP):
+        here = here[here + off < end[here]]
+        here = here[ratio * size[here + off] <= size[here] + 1e-9]  # sizes ascend, so later ones are beyond, too
+        if not len(here):
             break
-        out.append(_compare(left, left + off, prints, size, ratio))
-    for off in range(1, min(climb, n - 1) + 1):
-        i = here[: n - off]
-        i = i[last[i] - i < off]
-        out.append(_compare(i, i + off, prints, size, ratio))
-    for s, k in zip(heads[length > WINDOW], length[length > WINDOW], strict=True):
-        i, j, d = near_across(*([([p[s : s + k] for p in parts], most) for parts, most in prints], size[s : s + k]) * 2, ratio)
-        out.append((i[i < j] + s, j[i < j] + s, d[i < j]))
-    return tuple(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in range(3))  # type: ignore[return-value]
-
-
-def _compare(i: np.ndarray, j: np.ndarray, prints, size: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Those of the pairs (i, j) that are near, and their distances by the first fingerprint."""
-    ok = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
-    i, j = i[ok], j[ok]
-    first = None
-    for parts, most in prints:
-        d = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in parts)
+        d = np.bitwise_count(f[here] ^ f[here + off]) + np.bitwise_count(g[here] ^ g[here + off])
         ok = d <= most
-        first = d if first is None else first
-        i, j, first = i[ok], j[ok], first[ok]
-    return i, j, first
-
-
-def near_across(prints, size: np.ndarray, prints_b, size_b: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i, j, distance) as near_in_order's, of all rows i of one block with all rows j of another."""
-    out = []
-    for s in range(0, len(size), 256):
-        near = None
-        first = None
-        for (parts, most), (parts_b, _) in zip(prints, prints_b, strict=True):
-            d = sum(np.bitwise_count(p[s : s + 256, None] ^ q[None, :]) for p, q in zip(parts, parts_b, strict=True))
-            first = d if first is None else first
-            near = d <= most if near is None else near & (d <= most)
-        i, j = np.nonzero(near)
-        d = first[i, j].astype(np.int64)
-        i = i + s
-        ok = np.minimum(size[i], size_b[j]) >= ratio * np.maximum(size[i], size_b[j])
-        out.append((i[ok], j[ok], d[ok]))
-    return tuple(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in out)]) for k in range(3))  # type: ignore[return-value]
-
-
-def near_pairs(rows: DataFrame, partitions: int, *, shift: int, prints: list[tuple[list[str], int]], ratio: float, climb: int = 0, block: int = BLOCK) -> DataFrame:
-    """Distinct (a, b, distance), a < b, of near rows (tree int, label long, node long, size int, and the columns of ``prints``).
-
-    ``prints`` are fingerprints, each of some long columns, and the bits in which each may differ.
-
-    Rows are sorted across the cluster by (tree, label, node) in ranges of about equal length; a bucket is the rows of a
-    tree whose labels agree but for the lowest ``shift`` bits. All rows of a bucket are compared. A range compares its
-    buckets in blocks of at most ``block`` rows, each within itself, and hands on the blocks of buckets that have several,
-    and of its first and last bucket, which neighbouring ranges may hold, too; blocks of a bucket are then joined with
-    each other, each two in a task of their own, so a hot bucket is spread over the cluster. The ``climb`` next rows of a
-    range's last ones are found in the same way, so pairs don't depend on where ranges end.
+        out.append((here[ok], here[ok] + off, d[ok]))
+    for h, m in zip(heads[length > STEP].tolist(), length[length > STEP].tolist(), strict=True):
+        until = h + np.searchsorted(size[h : h + m], size[h : h + m] / ratio + 1e-9, side="right")
+        for s in range(h, h + m, STEP):
+            e = min(s + STEP, h + m)
+            for lo in range(s, int(until[e - h - 1]), 1 << 14):
+                hi = min(lo + (1 << 14), int(until[e - h - 1]))
+                d = np.bitwise_count(f[s:e, None] ^ f[None, lo:hi]) + np.bitwise_count(g[s:e, None] ^ g[None, lo:hi])
+                i, j = divmod(np.flatnonzero(d <= most), hi - lo)
+                d = d[i, j]
+                i, j = i + s, j + lo
+                ok = (i < j) & (ratio * size[j] <= size[i] + 1e-9)
+                out.append((i[ok], j[ok], d[ok]))
+    i, j, d = (np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in range(3))
+    return order[i], order[j], d.astype(np.int64)
+
+
+def near_across(group: np.ndarray, side: np.ndarray, size: np.ndarray, prints: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs as near_within's, of all rows of one side (False) with all rows of the other (True)."""
+    i, j, d = [], [], []
+    order = np.lexsort((size, side, group))
+    heads = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])) if len(order) else np.zeros(0, int)
+    for h, z in zip(heads, np.append(heads[1:], len(order)), strict=True):
+        own = order[h:z]
+        x, y = own[~side[own]], own[side[own]]
+        lo, hi = np.searchsorted(size[y], ratio * size[x] - 1e-9), np.searchsorted(size[y], size[x] / ratio + 1e-9, side="right")
+        for s in range(0, len(x), STEP):
+            e = min(s + STEP, len(x))
+            for t in range(int(lo[s]), int(hi[e - 1]), 1 << 14):
+                z_ = y[t : min(t + (1 << 14), int(hi[e - 1]))]
+                far = sum(np.bitwise_count(prints[x[s:e], k][:, None] ^ prints[z_, k][None, :]) for k in range(2))
+                a, b = np.nonzero(far <= most)
+                ok = np.minimum(size[x[s + a]], size[z_[b]]) >= ratio * np.maximum(size[x[s + a]], size[z_[b]]) - 1e-9
+                i.append(x[s + a[ok]]), j.append(z_[b[ok]]), d.append(far[a[ok], b[ok]])
+    return tuple(np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64) for v in (i, j, d))  # type: ignore[return-value]
+
+
+def near_pairs(nodes: DataFrame, buckets: Buckets, *, most: int, ratio: float, fine: int = 1 << 15, task_rows: int = TASK_ROWS, split: int = SPLIT_ROWS) -> DataFrame:
+    """Distinct (a, b, distance), a < b, of the nodes (node, f0, f1 long, size int) that share a group, differ in at most ``most`` bits and have sizes in ratio.
+
+    All rows of a group are compared, whatever the tasks: buckets are hashed to slots, and the slots' counts (bounded by
+    SLOTS, the only thing that reaches the driver) put slots into tasks of about ``task_rows`` rows. Rows of a slot beyond
+    ``split`` are dealt into g parts, and each two parts meet in a task of their own, so a hot bucket is spread over the
+    cluster. Groups of over ``fine`` rows are searched by the finer keys of ``buckets.parts`` where it has some. Rows
+    travel packed, many to a shuffled row. A pair that an earlier key surely finds is given there only.
     """
-    names = [c for columns, _ in prints for c in columns]
-    ordered = rows.select("tree", "label", "node", "size", *names).repartitionByRange(partitions, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-    kind = np.dtype([("node", "<i8"), ("size", "<i4"), *((c, "<u8") for c in names)])
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32()), ("tree", pa.int32()), ("key", pa.int64()), ("part", pa.int32()), ("block", pa.int32()), ("held", pa.binary())])
-    by = lambda r: [([np.ascontiguousarray(r[c]) for c in columns], most) for columns, most in prints]
-
-    def batches_of(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = np.minimum(x, y), np.maximum(x, y)
-        order = np.lexsort((b, a))
-        a, b, d = a[order], b[order], d[order]
-        keep = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) & (a != b) if len(a) else np.zeros(0, bool)
-        a, b, d = a[keep], b[keep], d[keep].astype(np.int32)
-        for k in range(0, len(a), 100_000):
-            m = len(a[k : k + 100_000])
-            yield pa.RecordBatch.from_arrays([*(pa.array(v[k : k + 100_000]) for v in (a, b, d)), *(pa.nulls(m, f.type) for f in list(schema)[3:])], schema=schema)
+    spark = nodes.sparkSession
+    keys = len(buckets.masks)
+    total = nodes.count() * keys
+    slots = 1 << min(max(int(total // (1 << 14)).bit_length(), SLOTS[0].bit_length() - 1), SLOTS[1].bit_length() - 1)
+    where = lambda bucket: (mix(bucket) & np.uint64(slots - 1)).astype(np.int64)
+    nodes = nodes.select("node", "size", "f0", "f1")
+    prints_of = lambda c: np.stack([c[2].view(np.uint64), c[3].view(np.uint64)], axis=1)
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= CHUNK:
+                yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+                held, n = [], 0
+        if n:
+            yield [c.to_numpy() for c in pa.Table.from_batches(held).columns]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(slots, np.int64)
+        for c in chunks(batches):
+            n += np.bincount(where(buckets.of(prints_of(c))).ravel(), minlength=slots)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], names=["slot", "n"])
+
+    counted = nodes.mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(slots, np.int64)
+    n[counted.column(0).to_numpy()] = counted.column(1).to_numpy()
+    least = max(1, min(task_rows, total // max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    deal = np.where(n > split, -(-n // split), 1)
+    whole = np.where(deal == 1, n, 0)
+    task_of = ((np.cumsum(whole) - whole) // least).astype(np.int32)
+    tasks = int(task_of[-1]) + 1
+    pairs_of = deal * (deal + 1) // 2 * (deal > 1)
+    first = (tasks + np.cumsum(pairs_of) - pairs_of).astype(np.int64)
+    split_tasks = {int(first[s]) + i * (2 * int(deal[s]) - i + 1) // 2 + j - i: (int(deal[s]), i, j) for s in np.flatnonzero(deal > 1) for i in range(int(deal[s])) for j in range(i, int(deal[s]))}
+    kind = np.dtype([("node", "<i8"), ("f0", "<u8"), ("f1", "<u8"), ("bucket", "<u8"), ("size", "<i4")])
+    part_of = lambda node, g: (mix(node.view(np.uint64) ^ np.uint64(0xA5A5A5A5)) % np.uint64(g)).astype(np.int64)
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches):
+            bucket = buckets.of(prints_of(c))
+            slot = where(bucket.ravel())
+            row = np.repeat(np.arange(len(bucket)), keys)
+            one = deal[slot] == 1
+            at, task = [np.flatnonzero(one)], [task_of[slot[one]].astype(np.int64)]
+            for k in np.flatnonzero(~one):  # of hot slots: to each task of the row's part
+                g = int(deal[slot[k]])
+                p = int(part_of(c[0][row[k] : row[k] + 1], g)[0])
+                at.append(np.full(g, k))
+                task.append(np.array([first[slot[k]] + min(p, q) * (2 * g - min(p, q) + 1) // 2 + abs(p - q) for q in range(g)], np.int64))
+            at, task = np.concatenate(at), np.concatenate(task)
+            order = np.argsort(task, kind="stable")
+            at, task = at[order], task[order]
+            r = np.empty(len(at), kind)
+            r["bucket"] = bucket.ravel()[at]
+            for name, values in zip(("node", "size", "f0", "f1"), c, strict=True):
+                r[name] = values.view(kind[name])[row[at]]
+            heads = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])) if len(task) else np.zeros(0, int)
+            held = [r[s:e].tobytes() for s, e in zip(heads, np.append(heads[1:], len(r)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(task[heads].astype(np.int32)), pa.array(held, pa.binary())], names=["task", "held"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if t is None or not t.num_rows:
-            return
-        part = TaskContext.get().partitionId()
-        n = t.num_rows
-        tree, label = (t.column(k).to_numpy() for k in range(2))
-        r = np.empty(n, kind)
-        for c, x in zip(kind.names, t.columns[2:], strict=True):
-            r[c] = x.to_numpy().view(kind[c])
-        key = (label.view(np.uint64) >> np.uint64(shift)).astype(np.int64)
-        heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])]))
-        length = np.diff(np.append(heads, n))
-        number = (np.arange(n) - np.repeat(heads, length)) // block
-        unit = np.cumsum(np.concatenate([[True], (number[1:] != number[:-1]) | np.isin(np.arange(1, n), heads)]))
-        i, j, d = near_in_order(unit, by(r), r["size"], ratio, climb)
-        yield from batches_of(r["node"][i], r["node"][j], d)
-        open_ = length > block
-        open_[[0, -1]] = True
-        for h, m in zip(heads[open_], length[open_], strict=True):
-            for k in range(0, m, block):
-                yield _held(schema, tree[h], key[h], part, k // block, r[h + k : h + min(m, k + block)])
-        if climb:
-            edge = np.unique(np.concatenate([np.arange(min(climb, n)), np.arange(max(0, n - climb), n)]))
-            yield _held(schema, -1, 0, part, 0, r[edge])
-
-    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Next rows of each range's last ones, in the ranges that follow: of all ranges the first and last rows."""
-        held = sorted(((p, v) for b in batches for p, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
-        if not held:
-            return
-        edges = [np.frombuffer(v, kind) for _, v in held]
-        r = np.concatenate(edges)
-        part = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
-        for off in range(1, climb + 1):
-            i = np.arange(max(0, len(r) - off))
-            i = i[part[i] != part[i + off]]
-            yield from batches_of(*(lambda i, j, d: (r["node"][i], r["node"][j], d))(*_compare(i, i + off, by(r), r["size"], ratio)))
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_task: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            for x, y in zip(b.column(0), b.column(1), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), kind) for v in (x, y))
-                i, j, d = near_across(by(x), x["size"], by(y), y["size"], ratio)
-                yield from batches_of(x["node"][i], y["node"][j], d)
-
-    ddl = "a long, b long, distance int, tree int, key long, part int, block int, held binary"
-    out = cut(ordered.mapInArrow(pair, ddl))
-    blocks = out.filter("tree >= 0").select("tree", "key", F.struct("part", "block").alias("at"), "held")
-    ids = blocks.select("tree", "key", "at")
-    two = ids.join(ids.withColumnRenamed("at", "to"), ["tree", "key"]).filter("at < to")
-    with_a = two.join(blocks.withColumnRenamed("held", "x"), ["tree", "key", "at"])
-    both = with_a.join(blocks.withColumnRenamed("at", "to").withColumnRenamed("held", "y"), ["tree", "key", "to"])
-    found = out.filter("held is null").unionByName(both.select("x", "y").mapInArrow(across, ddl))
-    if climb:
-        found = found.unionByName(out.filter("tree = -1").select("part", "held").coalesce(1).mapInArrow(stitch, ddl))
-    return found.select("a", "b", "distance").dropDuplicates(["a", "b"])
-
-
-def _held(schema: pa.Schema, tree: int, key: int, part: int, block: int, rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"a": [None], "b": [None], "distance": [None], "tree": [int(tree)], "key": [int(key)], "part": [part], "block": [block], "held": [rows.tobytes()]}, schema=schema)
+            for task, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                by_task.setdefault(task, []).append(np.frombuffer(v.as_buffer(), kind))
+        for task in sorted(by_task):
+            r = np.concatenate(by_task.pop(task))
+            r = r[np.argsort(r["bucket"], kind="stable")]
+            prints = np.stack([r["f0"], r["f1"]], axis=1)
+            group = buckets.groups(r["bucket"], prints, task not in split_tasks)
+            if (parts := split_tasks.get(task)) and parts[1] != parts[2]:
+                i, j, d = near_across(group, part_of(r["node"], parts[0]) == parts[2], r["size"], prints, most, ratio)
+            else:
+                i, j, d = _search(buckets, r, group, prints, most, ratio, fine)
+            yield from _told(r, i, j, d, prints, buckets)
+
+    def _told(r, i, j, d, prints, buckets) -> Iterator[pa.RecordBatch]:
+        x = prints[i] ^ prints[j]
+        new = r["node"][i] != r["node"][j]
+        key = buckets.key(r["bucket"][i])
+        for k in range(keys - 1):
+            new &= (x & buckets.masks[k]).any(axis=1) | (key <= k) | (d > buckets.sure)
+        a, b, d = r["node"][i[new]], r["node"][j[new]], d[new].astype(np.int32)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        for k in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 100_000]) for v in (a, b, d)], names=["a", "b", "distance"])
+
+    scattered = nodes.mapInArrow(scatter, "task int, held binary").repartitionById(tasks + len(split_tasks), "task")
+    return scattered.mapInArrow(pair, "a long, b long, distance int").dropDuplicates(["a", "b"])
+
+
+def _search(buckets: Buckets, r: np.ndarray, group: np.ndarray, prints: np.ndarray, most: int, ratio: float, fine: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Near pairs within groups; those of large groups by finer keys."""
+    order = np.argsort(group, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])) if len(order) else np.zeros(0, int)
+    length = np.diff(np.append(heads, len(order)))
+    out, rest = [], np.ones(len(r), bool)
+    for h, m in zip(heads[length > fine], length[length > fine], strict=True):
+        own = order[h : h + m]
+        if (parts := buckets.parts(prints[own], int(r["bucket"][own[0]]))) is None:
+            continue
+        rest[own] = False
+        found = [near_within(parts[:, k], r["size"][own], prints[own], most, ratio) for k in range(parts.shape[1])]
+        i, j, d = (np.concatenate([f[k] for f in found]) for k in range(3))
+        _, once = np.unique(np.minimum(i, j) * len(own) + np.maximum(i, j), return_index=True)
+        out.append((own[i[once]], own[j[once]], d[once]))
+    own = np.flatnonzero(rest)
+    i, j, d = near_within(group[own], r["size"][own], prints[own], most, ratio)
+    out.append((own[i], own[j], d))
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(3))  # type: ignore[return-value]
 
 
 def linked(pairs: DataFrame, verify, best: int = 3) -> DataFrame:

@@ -73,6 +73,22 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(codes, s, e), np.searchsorted(s, begin)
 
 
+@lru_cache(maxsize=1)
+def folded_table() -> np.ndarray:
+    """Lower case of the code points below 0x3100 that belong to words, 0 for others."""
+    low = np.arange(0x3100, dtype=np.uint32)
+    low[:0x600] = lower_table()
+    return np.where(word_table(), low, np.uint32(0))
+
+
+def folded(codes: np.ndarray) -> np.ndarray:
+    """Lower-cased code points (as normal_form's) of words, 0 elsewhere."""
+    table = folded_table()
+    if len(codes) and codes.max() < len(table):
+        return table[codes]
+    return np.where(codes < len(table), table[np.minimum(codes, len(table) - 1)], codes)
+
+
 def shingles_of(texts: list[str], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the distinct word shingles of every text, ascending; the first of each text, and the end).
 
@@ -101,25 +117,33 @@ _LANES = ((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uin
 _LANES = _LANES.sum(axis=1, dtype=np.uint64)
 
 
-def simhashes(hashes: np.ndarray, first: np.ndarray, words: int = 2) -> np.ndarray:
-    """SimHash of each group of hashes, as ``words`` 64-bit numbers: a bit is set if more than half of the group's hashes have it set.
+#: Weights of a SimHash's features are below this.
+WEIGHTS = 16
+
+
+def simhashes(hashes: np.ndarray, first: np.ndarray, words: int = 2, weight: np.ndarray | None = None) -> np.ndarray:
+    """SimHash of each group of hashes, as ``words`` 64-bit numbers: a bit is set if more than half of the group's hashes, by weight, have it set.
 
-    Bits are counted eight to a 64-bit number, a byte each, over runs of at most 255 hashes.
+    Bits are counted eight to a 64-bit number, a byte each, over runs short enough for a byte.
     """
     out = np.zeros((len(first) - 1, words), dtype=np.uint64)
     n = np.diff(first)
     if not n.sum():
         return out
-    k = -(-n // 255)
-    begin = np.repeat(first[:-1] - 255 * (np.cumsum(k) - k), k) + 255 * np.arange(k.sum())
+    run = 255 if weight is None else 255 // (WEIGHTS - 1)
+    k = -(-n // run)
+    begin = np.repeat(first[:-1] - run * (np.cumsum(k) - k), k) + run * np.arange(k.sum())
     used = np.flatnonzero(n)
     starts = np.concatenate([[0], np.cumsum(k[used])])[:-1]
+    total = n[used] if weight is None else np.add.reduceat(weight, first[:-1][used])
+    times = None if weight is None else weight.astype(np.uint64)
     for w in range(words):
-        byte = (mix(hashes + np.uint64(w) * _BASE) if w else hashes).view(np.uint8).reshape(-1, 8)
+        byte = (mix(hashes + np.array(w, np.uint64) * _BASE) if w else hashes).view(np.uint8).reshape(-1, 8)
         for b in range(8):
-            part = np.add.reduceat(_LANES[byte[:, b]], begin)
+            lanes = _LANES[byte[:, b]]
+            part = np.add.reduceat(lanes if times is None else lanes * times, begin)
             count = np.add.reduceat(part.view(np.uint8).reshape(-1, 8).astype(np.int32), starts, axis=0)
-            bits = (2 * count > n[used][:, None]).astype(np.uint64)
+            bits = (2 * count > total[:, None]).astype(np.uint64)
             out[used, w] |= (bits << (np.arange(8, dtype=np.uint64) + np.uint64(8 * b))).sum(axis=1, dtype=np.uint64)
     return out
 

@@ -10,22 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_rows, bit_filter, cut, fresh_path, keep_one, lookup, may_hold, pieces, text_of
-from ._graph import linked, near_pairs
+from ._common import arrow_rows, bit_filter, cut, fresh_path, keep_one, lookup, may_hold, pieces, release, text_of
+from ._graph import Buckets, linked, near_pairs
 from ._words import PIECE_CHARS, mix, shingles_of, simhashes
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Chance that a pair just at the similarity shares a prefix in some tree, before climbing adds more.
+#: Chance that a pair just at the similarity shares a group in some tree.
 RECALL = 0.97
 #: Fingerprints are of 128 bits; a pair is verified if at most so many differ (19.4 expected at similarity 0.8, deviation 4).
-MAX_BITS = 32
-#: Distinct texts that a bucket holds on average.
-BUCKET = 4
-#: Next rows in a tree's order that a row is compared with even where only a shorter prefix is shared.
-CLIMB = 4
-#: Rows of the forest in a task.
-TASK_ROWS = 400_000
+MAX_BITS = 36
+#: Distinct texts under a prefix beyond which it is made longer, and bits that a sparse region's prefix may be shorter than a dense one's.
+LEAF, SHORTER = 512, 6
 FILTER_BITS = 1 << 24
 SEED = 20240229
 
@@ -35,25 +31,64 @@ def agreement(similarity: float) -> float:
     return 1 - acos(2 * similarity / (1 + similarity)) / pi
 
 
-def forest_shape(n: int, similarity: float = SIMILARITY, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int]:
-    """(trees, depth) for n texts: prefixes as long as the density asks for, and as many trees as the recall then needs."""
-    depth = min(60, max(6, ceil(log2(max(2, n / bucket)))))
+def forest_shape(n: int, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF) -> tuple[int, int]:
+    """(trees, depth) for n texts: with so many trees, prefixes of ``depth`` bits give the recall; a leaf of texts shares one on average."""
+    depth = min(28, max(4, ceil(log2(max(2, n / leaf)))))
     return ceil(log(1 - recall) / log(1 - agreement(similarity) ** depth)), depth
 
 
 def permutations(trees: int) -> np.ndarray:
-    """For each tree the 64 of the 128 bits that make its labels, in order."""
+    """For each tree the order in which it takes the 128 bits."""
     rng = np.random.default_rng(SEED)
-    return np.array([rng.permutation(128)[:64] for _ in range(trees)])
+    return np.array([rng.permutation(128) for _ in range(trees)])
 
 
-def labels_of(prints: np.ndarray, perms: np.ndarray) -> np.ndarray:
-    """(n, trees) labels of (n, 2) fingerprints: the permuted bits, the first the highest."""
-    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
-    out = np.empty((len(prints), len(perms)), dtype=np.uint64)
-    for t, p in enumerate(perms):
-        out[:, t] = np.ascontiguousarray(np.packbits(bits[:, p], axis=1, bitorder="big")).view(">u8")[:, 0]
-    return out
+class Forest(Buckets):
+    """Tries over permuted bits. A text's prefix grows in a tree while more than ``leaf`` texts share it; where that makes it
+    longer than ``depth``, at which the trees together reach the target recall, it climbs back to ``depth``.
+
+    So in sparse regions prefixes are shorter, by up to SHORTER bits, and all that share the prefix are compared, in dense
+    ones as many as the recall needs. Buckets are the prefixes that any region has at least.
+    """
+
+    def __init__(self, trees: int, depth: int, leaf: int = LEAF):
+        self.depth, self.leaf, self.above = depth, leaf, max(0, depth - SHORTER)
+        self.order = permutations(trees)
+        self.masks = np.array([[sum(1 << int(p) for p in o[:depth] if p < 64), sum(1 << int(p - 64) for p in o[:depth] if p >= 64)] for o in self.order], np.uint64)
+
+    @staticmethod
+    def _bits(prints: np.ndarray, places: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(prints), np.uint64)
+        for p in places.tolist():
+            out = (out << np.uint64(1)) | ((prints[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1))
+        return out
+
+    def of(self, prints: np.ndarray) -> np.ndarray:
+        return np.stack([self._bits(prints, o[: self.above]) | np.uint64(k << 32) for k, o in enumerate(self.order)], axis=1)
+
+    def key(self, bucket: np.ndarray) -> np.ndarray:
+        return (bucket >> np.uint64(32)).astype(np.int64)
+
+    def groups(self, bucket: np.ndarray, prints: np.ndarray, wholly: bool) -> np.ndarray:
+        more = self.depth - self.above
+        label = np.zeros(len(bucket), np.uint64)
+        tree = self.key(bucket)
+        for t in np.unique(tree).tolist():
+            own = tree == t
+            label[own] = self._bits(prints[own], self.order[t, self.above : self.depth])
+        label |= bucket << np.uint64(more)
+        length = np.full(len(bucket), more if not wholly else -1)
+        if wholly:
+            order = np.argsort(label, kind="stable")
+            ranked = label[order]
+            for e in range(more + 1):  # the shortest prefix that a leaf holds, or the longest
+                x = ranked >> np.uint64(more - e)
+                heads = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
+                n = np.diff(np.append(heads, len(x)))
+                few = np.repeat((n <= self.leaf) | (e == more), n)
+                now = order[few]
+                length[now] = np.where(length[now] < 0, e, length[now])
+        return ((label >> (more - length).astype(np.uint64)) << np.uint64(4)) | length.astype(np.uint64)
 
 
 def _set_keys(h: np.ndarray, first: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,20 +125,6 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int = WORDS) ->
     return df.select(df[id_col], text_of(df, text_col)).mapInArrow(sign, f"_id {kind}, k0 long, k1 long, size int, f0 long, f1 long")
 
 
-def forest(nodes: DataFrame, trees: int) -> DataFrame:
-    """(tree, label, node, size, f0, f1): a row of each node in each tree."""
-    perms = permutations(trees)
-
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, size, f0, f1 = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            labels = labels_of(np.stack([f0, f1], axis=1), perms)
-            for t in range(len(perms)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), t, dtype=np.int32)), pa.array(np.ascontiguousarray(labels[:, t]).view(np.int64) ^ np.int64(-1 << 63)), *b.columns], names=["tree", "label", "node", "size", "f0", "f1"])
-
-    return nodes.select("node", "size", "f0", "f1").mapInArrow(grow, "tree int, label long, node long, size int, f0 long, f1 long")
-
-
 def shingle_sets(df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(node, shingles binary: ascending 32-bit hashes) of the nodes (node, _id, k0, k1).
 
@@ -143,10 +164,10 @@ def jaccard_at_least(pairs: DataFrame, sets: DataFrame, similarity: float) -> Da
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, max_bits: int = MAX_BITS) -> DataFrame:
     """Classes of near-duplicate texts: connected by pairs whose sets of ``words``-word shingles have Jaccard similarity of at least ``similarity``.
 
-    Texts of equal sets of shingles are one node. Each tree of the forest sorts the nodes by a permutation of their
-    SimHash's bits; nodes with a common prefix, as long as the density asks for, are compared by Hamming distance, and
-    those alone in their prefix with their neighbours at shorter ones. The number of trees follows from the recall wanted
-    at the similarity. Near pairs are verified on the shingles themselves, so none is false (but for collisions of 32-bit hashes).
+    Texts of equal sets of shingles are one node. Each tree of the forest takes the bits of their SimHashes in an order of
+    its own; nodes with a common prefix, as long as the density where they are asks for, are compared by Hamming distance;
+    see Forest. The number of trees follows from the recall wanted at the similarity. Near pairs are verified on the
+    shingles themselves, so none is false (but for collisions of 32-bit hashes).
 
     Returns a row for each of df's rows: id_col, class_id (largest id of the class), class_size (rows), kept (one row of
     the class: that of the largest id), n_shingles. Words are lower-cased runs of letters, digits and underscores. A text
@@ -159,9 +180,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = members.filter("_row = node")
     within = nodes.filter("size > 0")
     n = within.count()
-    trees, depth = forest_shape(n, similarity, recall)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, ceil(n * trees / TASK_ROWS), 1)
-    pairs = cut(near_pairs(forest(within, trees), parts, shift=64 - depth, prints=[(["f0", "f1"], max_bits)], ratio=similarity, climb=CLIMB))
+    pairs = cut(near_pairs(within, Forest(*forest_shape(n, similarity, recall)), most=max_bits, ratio=similarity))
+    release(spark)
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     where = fresh_path(spark, "shingles")
     shingle_sets(df, nodes.join(used, "node", "left_semi"), id_col, text_col, words).write.parquet(where)
