@@ -99,29 +99,75 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.dedup_lines(odd).count() == len(ODD) and line_dedup.dedup_lines(none).count() == 0
 
 
-def test_similar_lines_of_other_word_pairs_are_found(spark):
-    rng = np.random.default_rng(8)
-    word = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
-    first = [(" ".join([word(16), c := word(2), word(16)]), c) for _ in range(40)]
-    docs = [(2 * i + k, line if k == 0 else line.replace(f" {c} ", " zz ")) for i, (line, c) in enumerate(first) for k in range(2)]  # the short word in the middle is changed: 2 of 2 word pairs, 1 of 3 words
-    nodes = [line_dedup._lines([t])[4][0] for _, t in docs]
-    near = [i for i in range(40) if int(np.bitwise_count(nodes[2 * i] ^ nodes[2 * i + 1])) <= line_dedup.MAX_BITS and (line_dedup.block_keys(np.array(nodes[2 * i : 2 * i + 2]), 4)[0] == line_dedup.block_keys(np.array(nodes[2 * i : 2 * i + 2]), 4)[1]).any()]
-    got = {r["doc_id"] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).filter("n_dropped = 1").collect()}
-    assert near and got == {2 * i + 1 for i in near}
-
-
-def test_gram_filter_keeps_every_similar_pair():
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    line = lambda k: f"line number {k} has words of its own such as {'abcdefghij'[k] * 9} and {'klmnopqrst'[k] * 9}"
+    rows = [(None, line(0) + "\n" + line(1)), (None, line(1) + "\n" + line(2)), (3, line(3)), (3, line(3)), (3, line(3)), (4, ""), (4, None), (5, "--\n" + line(0))]
+    got = [tuple(r) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(r[2] for r in got) == 1 + 2 + 1 and sum(r[1] for r in got) == 8 and len(got) == 8
+    assert sorted(r[3] for r in got if r[0] == 3) == ["", "", line(3)] and (5, 1, 1, "--") in got
+    assert sorted(line for r in got for line in r[3].split("\n") if "has" in line) == [line(k) for k in range(4)]
+
+
+def test_lines_hold_what_the_texts_have(spark):
+    texts = ["a  B\n--\nc", "", "\n\n", "É_1 日本\r\n x", "z" * 500 + "\n" + "y z " * 400]
+    x = line_dedup.Lines(texts)
+    want = [(i, k, " ".join(w)) for i, t in enumerate(texts) for k, l in enumerate(t.split("\n")) if (w := re.findall(r"\w+", l.lower()))]
+    assert [(int(a), int(b), x.normal(k)) for k, (a, b) in enumerate(zip(x.text, x.number, strict=True))] == want
+    assert x.size.tolist() == [len(w[2]) for w in want]
+    same = line_dedup.Lines(["A b\nc d", "a   b!\nC-d"])
+    assert same.k0[:2].tolist() == same.k0[2:].tolist() and same.k1[:2].tolist() == same.k1[2:].tolist() and len(set(same.k0.tolist())) == 2
+    for t in ("--", "a", "٣", "…", "é", "日", "\u0301", "\U0001f600"):
+        assert bool(line_dedup.has_word().search(t)) == (len(line_dedup.Lines([t]).text) == 1)
+
+
+def test_edit_distances_are_the_brute_force():
+    from xylem.llm import _edits
+
     rng = np.random.default_rng(9)
-    x, y, most = [], [], []
-    for _ in range(400):
-        a = list("".join(rng.choice(list("abcde é"), int(rng.integers(1, 120)))))
+    x, y = [], []
+    for _ in range(600):
+        a = list("".join(rng.choice(list("abcd é日"), int(rng.integers(0, 200)))))
         b = list(a)
-        for _ in range(k := int(0.2 * len(a))):
+        for _ in range(int(rng.integers(0, 30))):
             i = int(rng.integers(0, len(b) + 1))
             b[i : i + int(rng.integers(0, 2))] = ["z"] * int(rng.integers(0, 2))
-        x, y, most = [*x, "".join(a)], [*y, "".join(b)], [*most, k]
-    assert line_dedup.may_be_similar(x, y, np.array(most)).all()
-    assert not line_dedup.may_be_similar(["abcdefghij" * 9], ["klmnopqrst" * 9], np.array([18])).any()
+        x, y = [*x, "".join(a)], [*y, "".join(b)]
+    want = np.array([_plain(a, b) for a, b in zip(x, y, strict=True)])
+    assert [_edits.distance(a, b) for a, b in zip(x, y, strict=True)] == want.tolist()
+    assert all(_edits.by_words(a, b, 10**9) >= d for a, b, d in zip(x, y, want, strict=True))
+    for k in (-1, 0, 1):
+        most = np.maximum(want + k, 0)
+        assert (_edits.distances_within(x, y, most) == (want <= most)).all()
+
+
+def _plain(a, b):
+    row = np.arange(len(b) + 1)
+    codes = np.array([ord(c) for c in b], dtype=np.int64)
+    for i, c in enumerate(a, 1):
+        new = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
+        new = np.concatenate([[i], new])
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return int(row[-1])
+
+
+def test_line_recall_is_measured_against_brute_force(spark):
+    """Lines of sf0.001 with some words replaced: of all that brute force finds similar, by length, how many share a class."""
+    from xylem.llm.queries import table
+
+    rng = np.random.default_rng(4)
+    lines = sorted({l for r in table(spark, "/root/testdata/sf0.001", "documents").collect() for l in (r["text"] or "").split("\n") if 8 <= len(re.findall(r"\w+", l)) <= 120})
+    rows = []
+    for k, l in enumerate(lines):
+        words = re.findall(r"\w+", l.lower())
+        for i in rng.choice(len(words), max(1, len(words) // 25), replace=False):
+            words[i] = "q" * len(words[i])
+        rows += [(2 * k, l), (2 * k + 1, " ".join(words))]
+    nodes = {r["_at"]["_id"]: r["node"] for r in line_dedup.line_nodes(line_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")).collect()}
+    df = line_dedup.line_nodes(line_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text"))
+    nodes = {r["_at"]["_id"]: r["node"] for r in df.collect()}
+    pairs = {(r["a"], r["b"]) for r in line_dedup.near_lines(df).collect()}
+    own = [tuple(sorted((nodes[2 * k], nodes[2 * k + 1]))) for k in range(len(lines)) if 2 * k in nodes and 2 * k + 1 in nodes]
+    assert len(own) > 500 and sum(p in pairs for p in own) >= 0.95 * len(own)
 
 
 def test_pii(spark, odd, none):
@@ -165,33 +211,90 @@ def test_components(spark):
         assert len({comp[k] for k in range(7)}) == 1 and len({comp[k] for k in (20, 21, 22)}) == 1 and comp[0] != comp[20] and set(comp) == {*range(7), 20, 21, 22}
 
 
+def one_bucket():
+    """Rows whose lowest bits of f1 agree are in one bucket."""
+
+    class Lowest(G.Buckets):
+        masks = np.array([[0, 7]], np.uint64)
+
+        def of(self, prints):
+            return prints[:, 1:2] & np.uint64(7)
+
+        def key(self, bucket):
+            return np.zeros(len(bucket), np.int64)
+
+    return Lowest()
+
+
 def _near_rows(n, labels, seed=4):
-    """Rows of ``labels`` buckets, whose near pairs stand far apart, and all pairs of a bucket that are near."""
+    """Nodes of ``labels`` buckets, whose near pairs stand far apart, and all pairs of a bucket that are near."""
     rng = np.random.default_rng(seed)
     base = rng.integers(-(2**63), 2**63 - 1, n // 2)
     prints = np.concatenate([base, base ^ 5])
-    rows = [(0, (k % (n // 2)) % labels, k, 10, int(prints[k])) for k in range(n)]
+    rows = [(k, int(rng.integers(8, 12)), int(prints[k]), (k % (n // 2)) % labels) for k in range(n)]
     u = prints.view(np.uint64)
-    want = {(i, j) for i in range(n) for j in range(i + 1, n) if rows[i][1] == rows[j][1] and bin(int(u[i] ^ u[j])).count("1") <= 8}
+    near = lambda i, j: min(rows[i][1], rows[j][1]) >= 0.8 * max(rows[i][1], rows[j][1])
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if rows[i][3] == rows[j][3] and near(i, j) and bin(int(u[i] ^ u[j])).count("1") <= 8}
     return rows, want
 
 
-def test_large_buckets_are_compared_wholly(spark):
-    rows, want = _near_rows(1200, 1)  # near rows stand 600 rows apart, beyond any window
-    df = spark.createDataFrame(rows, "tree int, label long, node long, size int, f long")
-    assert len(want) >= 600
-    for block in (100, 300, 5000):
-        got = G.near_pairs(df, 1, shift=0, prints=[(["f"], 8)], ratio=0.8, block=block).collect()
+@pytest.mark.parametrize("labels", [1, 5])
+def test_groups_are_compared_wholly_whatever_the_tasks(spark, labels):
+    rows, want = _near_rows(1200, labels)
+    df = spark.createDataFrame(rows, "node long, size int, f0 long, f1 long")
+    assert len(want) >= 300
+    for kw in ({}, {"split": 100}, {"split": 700}, {"task_rows": 50}):
+        got = G.near_pairs(df, one_bucket(), most=8, ratio=0.8, **kw).collect()
         assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
 
 
-def test_buckets_and_next_rows_cross_ranges(spark):
-    rows, want = _near_rows(600, 20)
-    df = spark.createDataFrame(rows, "tree int, label long, node long, size int, f long")
-    pairs = lambda parts, climb: {(r["a"], r["b"]) for r in G.near_pairs(df, parts, shift=0, prints=[(["f"], 26)], ratio=0.8, climb=climb).collect()}
-    assert want <= pairs(7, 0)
-    for climb in (0, 3):
-        assert pairs(1, climb) == pairs(7, climb) == pairs(300, climb)
+def _prints(df):
+    return np.array([(r["f0"], r["f1"]) for r in df.collect()], np.int64).view(np.uint64).reshape(-1, 2)
+
+
+def test_pigeonhole_blocks_lose_no_pair(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (500, 2), dtype=np.uint64)
+    other = base.copy()
+    for row in other:
+        for bit in rng.choice(128, 11, replace=False):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    for together in (1, 2):
+        blocks = line_dedup.Blocks(together=together)
+        assert (blocks.of(base) == blocks.of(other)).any(axis=1).all()
+    blocks = line_dedup.Blocks()
+    same = blocks.of(base) == blocks.of(other)
+    for i in range(500):  # within a key's group, the finer keys lose none either
+        k = int(np.flatnonzero(same[i])[0])
+        bucket = int(blocks.of(base[i : i + 1])[0, k])
+        assert (blocks.parts(base[i : i + 1], bucket) == blocks.parts(other[i : i + 1], bucket)).any()
+    rows = [(k, 10, *map(int, p.view(np.int64))) for k, p in enumerate(np.concatenate([base, other]))]
+    df = spark.createDataFrame(rows, "node long, size int, f0 long, f1 long")
+    for kw in ({}, {"fine": 3}, {"split": 200}):
+        got = {(r["a"], r["b"]) for r in G.near_pairs(df, blocks, most=11, ratio=0.8, **kw).collect()}
+        assert got >= {(k, k + 500) for k in range(500)}
+
+
+def test_forest_prefixes_follow_density():
+    from xylem.llm.simhash_dedup import Forest, agreement
+
+    rng = np.random.default_rng(2)
+    one = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
+    dense = np.repeat(one[None], 3000, axis=0) ^ (np.uint64(1) << rng.integers(0, 64, (3000, 2)).astype(np.uint64))
+    sparse = rng.integers(0, 1 << 63, (60, 2), dtype=np.uint64)
+    prints = np.concatenate([dense, sparse])
+    forest = Forest(12, 9, leaf=16)
+    bucket = forest.of(prints)[:, 0]
+    order = np.argsort(bucket, kind="stable")
+    group = np.empty(len(prints), np.uint64)
+    group[order] = forest.groups(bucket[order], prints[order], True)
+    depth = forest.above + (group & np.uint64(15)).astype(int)
+    assert depth[:3000].max() == 9 and (depth <= 9).all() and depth[3000:].min() < 9
+    for g in np.unique(group[depth < 9]):  # a shorter prefix is that of a leaf; all that share it are in it
+        assert (group == g).sum() <= 16
+    x = prints[:, None] ^ prints[None, :]
+    assert ((x & forest.masks[0]).any(axis=2) | (group[:, None] == group[None, :])).all()  # rows that agree in the longest prefix share a group
+    assert 1 - (1 - agreement(0.8) ** 9) ** 14 >= 0.95
 
 
 def test_bpe_is_the_library(odd, none):
@@ -245,20 +348,61 @@ def test_feistel_is_a_permutation(n):
     assert sorted(slots.tolist()) == list(range(n)) and (f.indexes(slots) == np.arange(n)).all()
 
 
+def _documents_of(folder):
+    """The ids of each piece's document, put together by offset."""
+    got, slots = collections.defaultdict(dict), []
+    for slot, pieces, ids in token_shards.read_sequences(folder, 0, 10**6):
+        slots.append(slot)
+        for k, p in enumerate(pieces):
+            end = int(pieces[k + 1]["start"]) if k + 1 < len(pieces) else len(ids)
+            got[None if p["null"] else int(p["doc"])].setdefault(int(p["offset"]), []).append(ids[int(p["start"]) : end].tolist())
+    return got, slots
+
+
 def test_shards(spark, tmp_path):
     import public_tokenizers as P
 
-    docs = spark.createDataFrame([(k, f"text number {k} " * (k * 40)) for k in range(40)] + [(40, None)], "doc_id long, text string").repartition(3)
-    rows = token_shards.token_rows(docs, P.path("byte_bpe_50k.tiktoken"))
-    m = token_shards.write_shards(rows, f"file://{tmp_path}/s", sequence=256, shard_slots=16)
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(k, f"text number {k} " * (k * 40)) for k in range(40)] + [(40, None), (-1, "minus one"), (None, "no id")], "doc_id long, text string").repartition(3)
+    rows = token_shards.token_rows(docs, ranks)
+    where = f"file://{tmp_path}/s"
+    m = token_shards.write_shards(rows, where, sequence=256, shard_slots=16)
+    want = {r["_id"]: np.frombuffer(r["tokens"], "<u4").tolist() for r in rows.collect() if r["n_tokens"]}
+    got, slots = _documents_of(where)
+    assert {d: [x for k in sorted(s) for x in s[k][0]] for d, s in got.items()} == want and slots == list(range(len(slots)))
+    assert len(slots) <= sum(map(len, want.values())) // 256 + 3  # only a task's last sequence is padded
+    assert [s[0] for s in token_shards.read_sequences(where, 20, 5)] == list(range(20, 25))
     back = token_shards.read_shards(spark, m, shard_slots=16).collect()
-    assert sorted(r["slot"] for r in back) == list(range(len(back)))
-    want = {r["_id"]: np.frombuffer(r["tokens"], "<u4").tolist() for r in rows.collect()}
-    got = collections.defaultdict(dict)
-    for slot, doc, seq, ids in token_shards.read_sequences(f"file://{tmp_path}/s", 0, 10**6):
-        got[doc][seq] = ids.tolist()
-    assert {d: [x for k in sorted(s) for x in s[k]] for d, s in got.items()} == {d: t for d, t in want.items() if t}
-    assert [s[0] for s in token_shards.read_sequences(f"file://{tmp_path}/s", 20, 5)] == list(range(20, 25))
+    digest = lambda x: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()
+    assert {r["slot"] for r in back} == set(slots) and all(r["shard"] == r["slot"] // 16 for r in back)
+    assert collections.Counter((r["doc_id"], r["token_offset"], r["ids_sha256"]) for r in back) == collections.Counter((d, o, digest(x)) for d, s in got.items() for o, xs in s.items() for x in xs)
+    again = token_shards.materialise(docs, ranks).filter("n_tokens > 0").collect()
+    total = collections.Counter()
+    for r in again:
+        total[r["doc_id"]] += r["n_tokens"]
+    assert total == {d: len(x) for d, x in want.items()}
+
+
+def test_shards_of_odd_tables(spark, tmp_path, odd, none):
+    import public_tokenizers as P
+
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    assert token_shards.materialise(none, ranks, folder=f"file://{tmp_path}/none").count() == 0 and list(token_shards.read_sequences(f"file://{tmp_path}/none", 0, 9)) == []
+    rows = token_shards.materialise(odd, ranks).collect()
+    have = collections.Counter({i: 0 for i in ()})
+    for i, t, _ in ODD:
+        have[i] += len(token_shards._encoder(ranks).encode_ordinary(t or ""))
+    got = collections.Counter()
+    for r in rows:
+        got[r["doc_id"]] += r["n_tokens"]
+    assert got == +have
+    big = spark.createDataFrame([(1, np.array([70_000, 5], "<u4").tobytes()), (2, None)], "_id long, tokens binary")
+    token_shards.write_shards(big, f"file://{tmp_path}/big", sequence=4, vocabulary=100_000)
+    assert [x.tolist() for _, _, x in token_shards.read_sequences(f"file://{tmp_path}/big", 0, 9)] == [[70_000, 5]]
+    with pytest.raises(Exception, match="beyond the vocabulary"):
+        token_shards.write_shards(big, f"file://{tmp_path}/narrow")
+    with pytest.raises(TypeError):
+        token_shards.materialise(spark.createDataFrame([("a", "b")], "doc_id string, text string"), ranks)
 
 
 def test_toxicity(spark, odd, none):
