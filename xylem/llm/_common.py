@@ -105,10 +105,13 @@ def lookup(rows: DataFrame, key: str, table: DataFrame, value: str, salts: int =
     return salted.join(found, [key, "_salt"], "left").drop("_salt")
 
 
-def bit_filter(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """One row, one array<long> of ``bits`` bits, with those set that the keys (any column type) hash to. Its size doesn't depend on the keys' number."""
+def bit_filter(keys: DataFrame, key: str, bits: int, hashed: bool = False) -> DataFrame:
+    """One row, one array<long> of ``bits`` bits, with those set that the keys (any column type; longs that are their own hashes, if ``hashed``) hash to.
+
+    Its size doesn't depend on the keys' number.
+    """
     words = (
-        keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("_bit"))
+        keys.select(F.pmod(F.col(key) if hashed else F.xxhash64(key), F.lit(bits)).alias("_bit"))
         .groupBy(F.shiftright("_bit", 6).alias("_word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63 as int))")).alias("_set"))
     )

@@ -288,21 +288,24 @@ def _search(buckets: Buckets, r: np.ndarray, group: np.ndarray, prints: np.ndarr
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))  # type: ignore[return-value]
 
 
-def linked(pairs: DataFrame, verify, best: int = 3) -> DataFrame:
-    """Components (node, comp) of the pairs (a, b, distance) that ``verify`` (pairs -> those that hold) confirms.
+def linked(pairs: DataFrame, verify, best: int = 2) -> DataFrame:
+    """Components (node, comp) of the pairs (a, b, distance; cut before) that ``verify`` (pairs -> those that hold) confirms.
 
     First each node's closest pairs, one of each of ``best`` hash classes of partners, are verified; then all pairs whose
     ends aren't connected so far. A pair within a component would change nothing, so a group of n copies costs about n
     verifications, while every pair that could join two components is verified.
     """
-    pairs = cut(pairs)
-    ends = pairs.select(F.col("a").alias("x"), "b", "a", "distance").unionByName(pairs.select(F.col("b").alias("x"), "b", "a", "distance"))
-    part = F.pmod(F.xxhash64(F.col("a") + F.col("b") - F.col("x")), F.lit(best))
-    first = ends.groupBy("x", part.alias("_p")).agg(F.min(F.struct("distance", "a", "b")).alias("_m")).select("_m.a", "_m.b").distinct()
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "distance").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "distance"))
+    hashed = F.xxhash64("y")
+    near = F.col("distance").cast("long") * F.lit(1 << 48) + F.shiftrightunsigned(hashed, 16)  # ties fall by the hash
+    closest = ends.groupBy("x", F.pmod(hashed, F.lit(best)).alias("_p")).agg(F.min_by("y", near).alias("y"))
+    first = cut(closest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     good = cut(verify(first).select("a", "b"))
     comp = components(good)
-    for end in ("a", "b"):
-        pairs = lookup(pairs, end, comp.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}")), f"_{end}")
-    rest = pairs.filter("coalesce(_a, a) <> coalesce(_b, b) or (_a is null) <> (_b is null)").select("a", "b")
-    more = verify(rest.join(first, ["a", "b"], "left_anti")).select("a", "b")
+    of = lambda end: comp.select(F.col("node").alias(end), F.col("comp").alias(f"_{end}"))
+    told = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = told.filter("coalesce(_a, a) <> coalesce(_b, b) or (_a is null) <> (_b is null)").select("a", "b")
+    more = cut(verify(rest.join(first, ["a", "b"], "left_anti")).select("a", "b"))
+    if more.isEmpty():
+        return comp
     return components(good.unionByName(more))

@@ -266,18 +266,18 @@ def read_sequences(folder: str, slot: int, count: int) -> Iterator[tuple[int, np
 
 
 @lru_cache(maxsize=2)
-def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n, width) decimal digits and a comma of each number, and which of them are used."""
+def _digits(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, width) decimal digits and a comma of each number, which of them are used, and how many."""
     text = [f"{i}," for i in range(n)]
     width = max(map(len, text))
     table = np.frombuffer("".join(x.ljust(width) for x in text).encode(), np.uint8).reshape(n, width)
-    return table, table != ord(" ")
+    return table, table != ord(" "), (table != ord(" ")).sum(axis=1)
 
 
 def decimal(ids: np.ndarray, vocabulary: int) -> tuple[bytes, np.ndarray]:
     """The ids in decimal, a comma after each, and where each begins, and the end."""
-    table, used = _digits(1 << max(16, (vocabulary - 1).bit_length()))
-    return table[ids][used[ids]].tobytes(), np.concatenate([[0], np.cumsum(used.sum(axis=1)[ids])])
+    table, used, length = _digits(1 << max(16, (vocabulary - 1).bit_length()))
+    return table[ids][used[ids]].tobytes(), np.concatenate([[0], np.cumsum(length[ids])])
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame, *, shard_slots: int = SHARD_SLOTS, vocabulary: int = 65536) -> DataFrame:
