@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..errors import XPathNodeTypeError
-from ..plans.ast import Call, Filter, Path, Union, parse
+from ..plans.ast import Call, Filter, Path, Union, names_of, parse
 from ..plans.lower import Engine
 from ..schema import NODE_COLUMNS
+from ..sources.shred import shred
+from ..storage import settle
 
 
 def _documents(nodes: DataFrame) -> DataFrame:
@@ -41,6 +43,11 @@ def xpath(nodes: DataFrame, expression: str, *, namespaces: dict[str, str] | Non
     return df.select("doc_id", *([] if context is None else ["pre"]), v.alias("value"))
 
 
+def scan(df: DataFrame, *expressions: str, id_col: str = "doc_id", markup_col: str = "xml", **options) -> DataFrame:
+    """The node table of documents for these expressions, scanned once: no other names than they need, each document in one place, kept in the shared folder."""
+    return settle(shred(df, id_col, markup_col, names=names_of(*expressions), **options).repartition("doc_id"))
+
+
 def at_xpath(nodes: DataFrame, expression: str, **options) -> DataFrame:
     """Of each document the first node in document order."""
     if not _shows_nodes(parse(expression)):

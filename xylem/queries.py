@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .entities import decode_entities, encode_entities
 from .operators import build as B
 from .operators import mutate as M
-from .operators.xpath import NodeSet, at_xpath, attributes, extract, inner_text, siblings, xpath, xpath_column
+from .operators.xpath import NodeSet, at_xpath, attributes, extract, inner_text, scan, siblings, xpath, xpath_column
 from .sources.shred import declarations, shred
 from .storage import fresh_folder, settle
 from .streaming.sax import read_stream, records, sax_events
@@ -102,8 +102,8 @@ _page("page_first_items", None, lambda n: xpath(n, "//li[1]").select("doc_id", "
 _page("page_paragraph_text", None, lambda n: NodeSet(xpath(n, "//article//p"), n).text())
 
 
-def _scalar(name: str, expression: str, sql: str, build=orders, **options):
-    query(sql, name)(lambda spark, sf_dir: xpath(build(spark, sf_dir), expression, **options))
+def _scalar(name: str, expression: str, sql: str, **options):
+    query(sql, name)(lambda spark, sf_dir: xpath(scan(order_documents(spark, sf_dir), expression), expression, **options))
 
 
 def _per_order(value: str) -> str:
@@ -129,7 +129,8 @@ _scalar("order_compat_mod", "(3 - count(//line) * 2) mod 3", _per_order("CAST((3
 def _lines(name: str, path: str, where: str):
     """Lines that a path finds, by their attributes."""
     sql = f"{_LINES} SELECT doc_id, CAST(l_linenumber AS VARCHAR) AS n, CAST(l_partkey AS VARCHAR) AS part, l_quantity AS q FROM l WHERE {where}"
-    query(sql, name)(lambda spark, sf_dir: extract(orders(spark, sf_dir), path, {"n": "@n", "part": "@part", "q": "number(@q)"}).drop("pre"))
+    columns = {"n": "@n", "part": "@part", "q": "number(@q)"}
+    query(sql, name)(lambda spark, sf_dir: extract(scan(order_documents(spark, sf_dir), path, *columns.values()), path, columns).drop("pre"))
 
 
 _lines("order_position_first", "/order/line[1]", "pos = 1")
@@ -152,7 +153,7 @@ def order_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "preceding_nodes": "count(preceding::line)", "ancestors": "count(ancestor::*)", "ancestors_or_self": "count(ancestor-or-self::*)", "parent_key": "string(../@key)", "is_self": "boolean(self::line)",
         "attribute_count": "count(@*)", "parent_name": "name(..)", "next_part": "string(following-sibling::line[1]/@part)", "previous_part": "string(preceding-sibling::line[1]/@part)",
     }
-    return extract(orders(spark, sf_dir), "/order/line", columns).drop("pre").withColumn("pos", F.col("pos").cast("int"))
+    return extract(scan(order_documents(spark, sf_dir), "/order/line", *columns.values()), "/order/line", columns).drop("pre").withColumn("pos", F.col("pos").cast("int"))
 
 
 _scalar("order_descendant_or_self", "count(/order/descendant-or-self::*)", _per_order("CAST(count(*) + 1 AS DOUBLE)"))
@@ -324,3 +325,19 @@ def stream_xml_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["page_anchor_count"](spark, sf_dir)
+
+
+@query("SELECT c_custkey AS doc_id, 'é£' || c_name AS value FROM customer")
+def declared_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bytes of the encoding that they declare."""
+    c = table(spark, sf_dir, "customer")
+    xml = F.concat(F.lit('<?xml version="1.0" encoding="ISO-8859-1"?><n>é£'), F.col("c_name"), F.lit("</n>"))
+    return xpath(shred(c.select(F.col("c_custkey").alias("doc_id"), F.encode(xml, "ISO-8859-1").alias("xml"))), "string(/n)")
+
+
+@query("SELECT c_custkey AS doc_id, CAST(1 + c_custkey % 3 AS DOUBLE) AS value FROM customer")
+def recovered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands before the error in documents that aren't well-formed."""
+    c = table(spark, sf_dir, "customer")
+    xml = F.concat(F.lit("<a>"), F.repeat(F.lit("<b>x</b>"), (1 + F.col("c_custkey") % 3).cast("int")), F.lit("<c><d></a>"))
+    return xpath(shred(c.select(F.col("c_custkey").alias("doc_id"), xml.alias("xml")), mode="recover"), "count(/a/b)")

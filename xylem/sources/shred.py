@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import re
 from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from xml.parsers import expat
@@ -104,7 +106,7 @@ class TreeRows:
 
 def shred_xml(xml: str, strict: bool = True) -> list[list]:
     """Node rows of a well-formed document. External entities aren't read; references to undeclared entities are kept as nodes."""
-    tree, parser = TreeRows(), expat.ParserCreate(None)
+    tree, parser = TreeRows(), expat.ParserCreate("utf-8")  # the text is decoded already, whatever its declaration says
     parser.buffer_text, parser.ordered_attributes = True, True
     parser.UseForeignDTD(True)
     state = {"cdata": None}
@@ -131,15 +133,33 @@ def shred_xml(xml: str, strict: bool = True) -> list[list]:
     parser.XmlDeclHandler = lambda v, e, s: tree.add("declaration", "xml", " ".join(x for x in (f'version="{v}"' if v else "", f'encoding="{e}"' if e else "", f'standalone="{"yes" if s else "no"}"' if s >= 0 else "") if x), counted=False)
     parser.StartDoctypeDeclHandler = lambda n, s, p, i: tree.add("doctype", n, " ".join(x for x in (f'PUBLIC "{p}"' if p else "", "SYSTEM" if s and not p else "", f'"{s}"' if s else "") if x), counted=False)
     try:
-        parser.Parse(xml.encode("utf-8", "surrogatepass") if not xml.startswith("<?xml") else _as_utf8(xml), True)
+        parser.Parse(xml.encode("utf-8", "surrogatepass"), True)
     except expat.ExpatError as e:
+        if not strict:
+            parser.buffer_text = False  # hands on the text before the error
+            return tree.finish()
         raise ParseError(expat.ErrorString(e.code), line=e.lineno, column=e.offset, source=xml[:80]) from None
     return tree.finish()
 
 
-def _as_utf8(xml: str) -> bytes:
-    """The bytes of a decoded text; what its declaration says of an encoding no longer holds, but stays readable."""
-    return xml.encode("utf-8", "surrogatepass")
+_DECLARED = re.compile(rb"^<\?xml[^>]*?\sencoding\s*=\s*[\"']([A-Za-z][\w.\-]*)[\"']")
+_MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
+
+
+def decode(raw: bytes, encoding: str | None = None) -> str:
+    """The text of a document's bytes: by ``encoding``, else its byte order mark, else its declaration, else as UTF-8."""
+    for mark, name in _MARKS:
+        if raw.startswith(mark):
+            raw, encoding = raw[len(mark) :], encoding or name
+            break
+    if encoding is None and raw[:2] in (b"<\x00", b"\x00<"):
+        encoding = "utf-16-le" if raw[:1] == b"<" else "utf-16-be"
+    if encoding is None and (m := _DECLARED.match(raw)):
+        encoding = m[1].decode("ascii")
+    try:
+        return raw.decode(encoding or "utf-8")
+    except (LookupError, UnicodeDecodeError) as e:
+        raise ParseError("bytes that aren't of their encoding", encoding=encoding or "utf-8", reason=str(e)) from None
 
 
 class _Html(HTMLParser):
@@ -204,12 +224,13 @@ def shred_html(html: str, strict: bool = False) -> list[list]:
 BACKENDS: dict[str, Callable[[str, bool], list[list]]] = {"xml": shred_xml, "html": shred_html}
 
 
-def shred(df: DataFrame, id_col: str = "doc_id", markup_col: str = "xml", *, backend: str = "xml", mode: str = "permissive", fragment: bool = False, names: list[str] | None = None) -> DataFrame:
+def shred(df: DataFrame, id_col: str = "doc_id", markup_col: str = "xml", *, backend: str = "xml", mode: str = "permissive", fragment: bool = False, names: Iterable[str] | None = None, encoding: str | None = None) -> DataFrame:
     """Node rows (doc_id, NODE_COLUMNS, error) of every document.
 
-    permissive: a malformed document, or a null, gives its document row alone, with ``error``; failfast: it fails the
-    query. ``fragment`` puts the markup into a root of its own. ``names`` keeps, besides the document, only elements and
-    attributes with these names and the text of such elements, so what a query doesn't need never leaves the scanner.
+    permissive: a malformed document, or a null, gives its document row alone, with ``error``; recover: it gives the nodes
+    before the error, open elements closed, and ``error``; failfast: it fails the query. ``fragment`` puts the markup into
+    a root of its own. ``names`` keeps, besides the document, only elements and attributes with these names and the text
+    in such elements, so what a query doesn't need never leaves the scanner. A binary column is decoded; see decode.
     """
     if backend not in BACKENDS:
         raise BackendError("unknown scanner", backend=backend, known=", ".join(BACKENDS))
@@ -230,14 +251,15 @@ def shred(df: DataFrame, id_col: str = "doc_id", markup_col: str = "xml", *, bac
                 try:
                     if text is None:
                         raise ParseError("no document")
-                    rows = scan(f"<root>{text}</root>" if fragment else text, True)
+                    text = decode(text, encoding) if isinstance(text, bytes) else text
+                    text = f"<root>{text}</root>" if fragment else text
+                    rows = scan(text, True)
                 except (ParseError, NamespaceError) as e:
                     if mode == "failfast":
                         raise
-                    rows, error = TreeRows().finish(), str(e)
+                    rows, error = TreeRows().finish() if mode != "recover" or not isinstance(text, str) else _recovered(scan, text), str(e)
                 if wanted is not None:
-                    own = {r[0] for r in rows if r[4] == "element" and r[6] in wanted}
-                    rows = [r for r in rows if r[0] == 0 or r[0] in own or r[4] == "attribute" and r[6] in wanted or r[4] in ("text", "cdata") and r[3] in own]
+                    rows = _wanted(rows, wanted)
                 at += [i] * len(rows)
                 for c, values in zip(columns, zip(*rows, strict=True), strict=False):
                     c += values
@@ -250,7 +272,33 @@ def shred(df: DataFrame, id_col: str = "doc_id", markup_col: str = "xml", *, bac
             if at:
                 yield batch()
 
-    return df.select(df[id_col], df[markup_col].cast("string")).mapInArrow(run, node_ddl(kind))
+    markup = df[markup_col] if dict(df.dtypes)[markup_col] == "binary" else df[markup_col].cast("string")
+    return df.select(df[id_col], markup).mapInArrow(run, node_ddl(kind))
+
+
+def _recovered(scan: Callable[[str, bool], list[list]], text: str) -> list[list]:
+    try:
+        return scan(text, False)
+    except NamespaceError:
+        return TreeRows().finish()
+
+
+def _wanted(rows: list[list], names: frozenset[str]) -> list[list]:
+    """The document, the elements and attributes of these names, and all text in such elements."""
+    out, until = [], -1
+    for r in rows:
+        kind = r[4]
+        if kind == "element":
+            if r[6] not in names:
+                continue
+            until = max(until, r[0] + r[1])
+        elif kind == "attribute":
+            if r[6] not in names:
+                continue
+        elif r[0] and (kind not in ("text", "cdata", "entity_reference") or r[0] > until):
+            continue
+        out.append(r)
+    return out
 
 
 def check_root(nodes: DataFrame) -> DataFrame:

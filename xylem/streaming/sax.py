@@ -82,7 +82,7 @@ def drive(xml: str, handler: Handler) -> None:
     """Scans the text and calls the handler for each event."""
     if not isinstance(handler, Handler):
         raise TypeError("a Handler is needed")
-    p = expat.ParserCreate()
+    p = expat.ParserCreate("utf-8")
     p.buffer_text, p.ordered_attributes = True, True
     cdata: list[list[str] | None] = [None]
 
