@@ -140,8 +140,8 @@ def test_names_that_an_expression_needs():
     from xylem.plans.ast import names_of
 
     assert names_of("count(/order/line[@q > 30])", "string(@n)") == {"order", "line", "q", "n"}
-    assert names_of("a/b | //c[position() = last()]") == {"a", "b", "c"}
-    for e in ("a/*", "//a//b", "..", "string()", "id('x')", "namespace::p", "a/text()", "string(/)", "a[lang('en')]"):
+    assert names_of("a/b[position() = last()] | //c//d") == {"a", "b", "c", "d"}
+    for e in ("a/*", "//a[1]", "..", "string()", "id('x')", "namespace::p", "a/text()", "string(/)", "a[lang('en')]"):
         assert names_of(e) is None
 
 
