@@ -136,12 +136,12 @@ def simhashes(hashes: np.ndarray, first: np.ndarray, words: int = 2, weight: np.
     used = np.flatnonzero(n)
     starts = np.concatenate([[0], np.cumsum(k[used])])[:-1]
     total = n[used] if weight is None else np.add.reduceat(weight, first[:-1][used])
-    times = None if weight is None else weight.astype(np.uint64)
+    table = _LANES if weight is None else (_LANES[None, :] * np.arange(WEIGHTS, dtype=np.uint64)[:, None]).ravel()
+    row = None if weight is None else (weight << 8).astype(np.uint16)
     for w in range(words):
         byte = (mix(hashes + np.array(w, np.uint64) * _BASE) if w else hashes).view(np.uint8).reshape(-1, 8)
         for b in range(8):
-            lanes = _LANES[byte[:, b]]
-            part = np.add.reduceat(lanes if times is None else lanes * times, begin)
+            part = np.add.reduceat(table[byte[:, b] if row is None else row + byte[:, b]], begin)
             count = np.add.reduceat(part.view(np.uint8).reshape(-1, 8).astype(np.int32), starts, axis=0)
             bits = (2 * count > total[:, None]).astype(np.uint64)
             out[used, w] |= (bits << (np.arange(8, dtype=np.uint64) + np.uint64(8 * b))).sum(axis=1, dtype=np.uint64)
