@@ -274,6 +274,24 @@ def test_pigeonhole_blocks_lose_no_pair(spark):
         assert got >= {(k, k + 500) for k in range(500)}
 
 
+def test_near_within_takes_few_steps(monkeypatch):
+    """The pairs are brute force's, and small groups are compared many at a time."""
+    rng = np.random.default_rng(8)
+    group, size = rng.integers(0, 40, 20_000).astype(np.uint64), rng.integers(1, 1000, 20_000).astype(np.int32)
+    prints = rng.integers(0, 1 << 63, (5_000, 2), dtype=np.uint64)[rng.integers(0, 5_000, 20_000)] ^ (np.uint64(1) << rng.integers(0, 60, (20_000, 2)).astype(np.uint64))
+    steps, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda *a, **kw: (steps.append(1), count(*a, **kw))[1])
+    i, j, d = G.near_within(group, size, prints, 5, 0.8)
+    assert len(steps) < 400  # two for each 64 rows before: over 600
+    want = set()
+    for k in range(40):
+        own = np.flatnonzero(group == k)
+        far = sum(count(prints[own, w][:, None] ^ prints[own, w][None, :]) for w in range(2))
+        a, b = np.nonzero((far <= 5) & (np.minimum.outer(size[own], size[own]) >= 0.8 * np.maximum.outer(size[own], size[own]) - 1e-9))
+        want |= {(int(own[x]), int(own[y]), int(far[x, y])) for x, y in zip(a, b, strict=True) if x < y}
+    assert {(min(a, b), max(a, b), c) for a, b, c in zip(i.tolist(), j.tolist(), d.tolist(), strict=True)} == want and len(i) == len(want) > 100
+
+
 def test_forest_prefixes_follow_density():
     from xylem.llm.simhash_dedup import Forest, agreement
 

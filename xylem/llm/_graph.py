@@ -18,6 +18,8 @@ SLOTS = (1 << 10, 1 << 22)
 TASK_ROWS, SPLIT_ROWS = 1 << 19, 1 << 20
 #: Nodes that a task scatters at a time, and rows of a group that are compared with those of their size at a time.
 CHUNK, STEP = 1 << 16, 64
+#: Segments of STEP rows that are compared at once (so that their arrays stay near the processor), and offsets for which rows are laid out at a time.
+SIDE, OFFSETS = 512, 256
 #: Edges that one task joins (some 60 bytes each); more are first contracted across the cluster.
 LOCAL_EDGES = 2_000_000
 
@@ -106,42 +108,53 @@ class Buckets:
 def near_within(group: np.ndarray, size: np.ndarray, prints: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i, j, Hamming distance) of rows of a group whose (n, 2) prints differ in at most ``most`` bits and whose sizes are in ratio at least.
 
-    Rows are ordered by group and size, so each is compared only with those that follow it up to its size over the ratio:
-    in long groups STEP rows at a time with all that any of them needs, in short ones pair by pair.
+    Rows are ordered by group and size, so each is compared only with those that follow it up to its size over the ratio.
+    SIDE by SIDE segments of STEP rows, those that reach as far together, are compared with the rows an offset further, so
+    that a step is a few operations over long arrays. What is set in either half of the difference counts at most as many
+    bits as both halves together, so one count tells most pairs apart.
     """
     order = np.lexsort((size, group))
-    group, size, f, g = group[order], size[order], np.ascontiguousarray(prints[order, 0]), np.ascontiguousarray(prints[order, 1])
-    n = len(group)
+    n = len(order)
     if n < 2:
         return (np.zeros(0, np.int64),) * 3
-    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    length = np.diff(np.append(heads, n))
+    group, size = group[order], size[order].astype(np.int64)
+    rank = np.cumsum(np.concatenate([[False], group[1:] != group[:-1]]))
+    wide = int(size.max() / ratio) + 2
+    ahead = np.searchsorted(rank * wide + size, rank * wide + (size / ratio + 1e-6).astype(np.int64), side="right") - 1 - np.arange(n)
+    f, g = (np.concatenate([prints[order, k], np.zeros(STEP + int(ahead.max()), np.uint64)]) for k in range(2))
+    starts = np.arange(0, n, STEP)
+    reach = np.maximum.reduceat(ahead, starts)
+    by = np.argsort(-reach, kind="stable")
+    starts, reach = starts[by], reach[by]
+    x, y, count, near = (np.empty(SIDE * STEP, t) for t in (np.uint64, np.uint64, np.uint8, np.bool_))
     out = []
-    short = np.repeat(length <= STEP, length)
-    here = np.flatnonzero(short)
-    end = np.repeat(heads + length, length)
-    for off in range(1, STEP):
-        here = here[here + off < end[here]]
-        here = here[ratio * size[here + off] <= size[here] + 1e-9]  # sizes ascend, so later ones are beyond, too
-        if not len(here):
-            break
-        d = np.bitwise_count(f[here] ^ f[here + off]) + np.bitwise_count(g[here] ^ g[here + off])
-        ok = d <= most
-        out.append((here[ok], here[ok] + off, d[ok]))
-    for h, m in zip(heads[length > STEP].tolist(), length[length > STEP].tolist(), strict=True):
-        until = h + np.searchsorted(size[h : h + m], size[h : h + m] / ratio + 1e-9, side="right")
-        for s in range(h, h + m, STEP):
-            e = min(s + STEP, h + m)
-            for lo in range(s, int(until[e - h - 1]), 1 << 14):
-                hi = min(lo + (1 << 14), int(until[e - h - 1]))
-                d = np.bitwise_count(f[s:e, None] ^ f[None, lo:hi]) + np.bitwise_count(g[s:e, None] ^ g[None, lo:hi])
-                i, j = divmod(np.flatnonzero(d <= most), hi - lo)
-                d = d[i, j]
-                i, j = i + s, j + lo
-                ok = (i < j) & (ratio * size[j] <= size[i] + 1e-9)
-                out.append((i[ok], j[ok], d[ok]))
-    i, j, d = (np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in range(3))
-    return order[i], order[j], d.astype(np.int64)
+    for at, far in ((starts[k : k + SIDE], reach[k : k + SIDE]) for k in range(0, len(starts), SIDE)):
+        rows = at[None, :] + np.arange(STEP)[:, None]
+        fs, gs = f[rows], g[rows]
+        for lo in range(1, int(far[0]) + 1, OFFSETS):
+            hi = min(lo + OFFSETS, int(far[0]) + 1)
+            rows = at[None, :] + np.arange(lo, hi - 1 + STEP)[:, None]
+            ft, gt = f[rows], g[rows]
+            found = []
+            for o, k in zip(range(lo, hi), np.searchsorted(-far, -np.arange(lo, hi), side="right").tolist(), strict=True):
+                m = k * STEP
+                np.bitwise_xor(ft[o - lo : o - lo + STEP, :k], fs[:, :k], out=x[:m].reshape(STEP, k))
+                np.bitwise_xor(gt[o - lo : o - lo + STEP, :k], gs[:, :k], out=y[:m].reshape(STEP, k))
+                np.bitwise_or(x[:m], y[:m], out=x[:m])
+                np.less_equal(np.bitwise_count(x[:m], out=count[:m]), most, out=near[:m])
+                if len(hit := near[:m].view(np.uint64).nonzero()[0]):  # eight at a time
+                    found.append((hit, near[:m].reshape(-1, 8)[hit], np.full(len(hit), k), np.full(len(hit), o)))
+            if found:
+                hit, held, k, o = (np.concatenate(v) for v in zip(*found, strict=True))
+                p, q = np.nonzero(held)
+                row, segment = np.divmod(hit[p] * 8 + q, k[p])
+                i, o = at[segment] + row, o[p]
+                ok = o <= np.where(i < n, ahead[np.minimum(i, n - 1)], 0)
+                i, j = i[ok], (i + o)[ok]
+                d = np.bitwise_count(f[i] ^ f[j]) + np.bitwise_count(g[i] ^ g[j])
+                ok = (d <= most) & (ratio * size[j] <= size[i] + 1e-9)
+                out.append((order[i[ok]], order[j[ok]], d[ok]))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *(v[k] for v in out)]).astype(np.int64) for k in range(3))  # type: ignore[return-value]
 
 
 def near_across(group: np.ndarray, side: np.ndarray, size: np.ndarray, prints: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
