@@ -292,6 +292,30 @@ def test_near_within_takes_few_steps(monkeypatch):
     assert {(min(a, b), max(a, b), c) for a, b, c in zip(i.tolist(), j.tolist(), d.tolist(), strict=True)} == want and len(i) == len(want) > 100
 
 
+def test_near_lines_do_not_depend_on_size(spark, monkeypatch):
+    """Pairs of 12 to 28 bits that share a single block are found in large groups and among many lines, too."""
+    rng = np.random.default_rng(6)
+    blocks, two = line_dedup.Blocks(), line_dedup.Blocks(together=2)
+    base, other = [], []
+    while len(base) < 60:  # no two blocks and no finer key are the same
+        x = rng.integers(0, 1 << 63, (1, 2), dtype=np.uint64)
+        y = x.copy()
+        for bit in rng.choice(np.setdiff1d(np.arange(128), blocks.places[len(base) % 12]), 26, replace=False):
+            y[0, bit // 64] ^= np.uint64(1 << int(bit % 64))
+        bucket = int(blocks.of(x)[0, len(base) % 12])
+        if not (two.of(x) == two.of(y)).any() and not (blocks.parts(x, bucket) == blocks.parts(y, bucket)).any():
+            base.append(x[0]), other.append(y[0])
+    rows = [(k, 10, *map(int, p.view(np.int64))) for k, p in enumerate(base + other)]
+    df = spark.createDataFrame(rows, "node long, size int, f0 long, f1 long")
+    monkeypatch.setattr(line_dedup, "ONE_BLOCK", 1, raising=False)
+    want = {(k, k + 60) for k in range(60)}
+    found = line_dedup.near_lines(df).collect()
+    assert {(r["a"], r["b"]) for r in found} >= want and len({(r["a"], r["b"]) for r in found}) == len(found)
+    for kw in ({"fine": 1}, {"split": 20}, {"fine": 1, "split": 20}):
+        got = G.near_pairs(df, blocks, most=line_dedup.MAX_BITS, ratio=0.8, **kw).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, found))
+
+
 def test_forest_prefixes_follow_density():
     from xylem.llm.simhash_dedup import Forest, agreement
 

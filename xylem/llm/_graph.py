@@ -85,8 +85,10 @@ class Buckets:
     """What puts rows into buckets and groups. ``masks`` (keys, 2): rows whose 128-bit prints agree in all bits of a mask surely share a group."""
 
     masks: np.ndarray
-    #: Pairs that differ in at most so many bits and agree in a mask are found by its key, in large groups, too.
+    #: Pairs that differ in at most so many bits and agree in a mask are found by the finer keys of parts, too.
     sure: int = 128
+    #: Whether rows share a group only where they agree in its mask, so that each pair is told once, by its first key.
+    once: bool = False
 
     def of(self, prints: np.ndarray) -> np.ndarray:
         """(n, keys) numbers (uint64) of the buckets of (n, 2) prints."""
@@ -183,8 +185,9 @@ def near_pairs(nodes: DataFrame, buckets: Buckets, *, most: int, ratio: float, f
     All rows of a group are compared, whatever the tasks: buckets are hashed to slots, and the slots' counts (bounded by
     SLOTS, the only thing that reaches the driver) put slots into tasks of about ``task_rows`` rows. Rows of a slot beyond
     ``split`` are dealt into g parts, and each two parts meet in a task of their own, so a hot bucket is spread over the
-    cluster. Groups of over ``fine`` rows are searched by the finer keys of ``buckets.parts`` where it has some. Rows
-    travel packed, many to a shuffled row. A pair that an earlier key surely finds is given there only.
+    cluster. Groups of over ``fine`` rows are searched by the finer keys of ``buckets.parts`` where these lose no pair
+    within ``most`` bits, so what is found never depends on how many rows there are. Rows travel packed, many to a
+    shuffled row. A pair that an earlier key finds is given there only.
     """
     spark = nodes.sparkSession
     keys = len(buckets.masks)
@@ -270,23 +273,25 @@ def near_pairs(nodes: DataFrame, buckets: Buckets, *, most: int, ratio: float, f
         new = r["node"][i] != r["node"][j]
         key = buckets.key(r["bucket"][i])
         for k in range(keys - 1):
-            new &= (x & buckets.masks[k]).any(axis=1) | (key <= k) | (d > buckets.sure)
+            new &= (x & buckets.masks[k]).any(axis=1) | (key <= k)
         a, b, d = r["node"][i[new]], r["node"][j[new]], d[new].astype(np.int32)
         a, b = np.minimum(a, b), np.maximum(a, b)
         for k in range(0, len(a), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 100_000]) for v in (a, b, d)], names=["a", "b", "distance"])
 
     scattered = nodes.mapInArrow(scatter, "task int, held binary").repartitionById(tasks + len(split_tasks), "task")
-    return scattered.mapInArrow(pair, "a long, b long, distance int").dropDuplicates(["a", "b"])
+    found = scattered.mapInArrow(pair, "a long, b long, distance int")
+    return found if buckets.once else found.dropDuplicates(["a", "b"])
 
 
 def _search(buckets: Buckets, r: np.ndarray, group: np.ndarray, prints: np.ndarray, most: int, ratio: float, fine: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Near pairs within groups; those of large groups by finer keys."""
+    """Near pairs within groups; those of large groups by finer keys, if these lose none within ``most`` bits."""
     order = np.argsort(group, kind="stable")
     heads = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])) if len(order) else np.zeros(0, int)
     length = np.diff(np.append(heads, len(order)))
     out, rest = [], np.ones(len(r), bool)
-    for h, m in zip(heads[length > fine], length[length > fine], strict=True):
+    large = (length > fine) & (most <= buckets.sure)
+    for h, m in zip(heads[large], length[large], strict=True):
         own = order[h : h + m]
         if (parts := buckets.parts(prints[own], int(r["bucket"][own[0]]))) is None:
             continue

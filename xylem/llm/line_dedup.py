@@ -22,8 +22,6 @@ SIMILARITY = 0.8
 SURE_BITS = 11
 #: Lines that share a key are verified if at most so many of the 128 bits differ.
 MAX_BITS = 28
-#: Lines up to which a key is one block (of 10.7 bits); beyond, each choice of two blocks (of 19.7 bits together) is.
-ONE_BLOCK = 1 << 28
 FILTER_BITS = 1 << 24
 #: Characters of texts, and bytes of pairs of lines, that are handled at a time.
 PIECE, VERIFY_BYTES = 200_000, 3 << 24
@@ -48,10 +46,12 @@ class Blocks(Buckets):
     """Fingerprints cut into ``sure`` + c blocks; each choice of c blocks is a key.
 
     By the pigeonhole principle, of two fingerprints that differ in at most ``sure`` bits c blocks at least agree, so one
-    key is the same. Large groups are searched the same way again: in the bits outside their key, cut into ``sure`` + 1
-    parts, one part of such a pair is the same.
+    key is the same. Large groups can be searched the same way again, for pairs within ``sure`` bits: in the bits outside
+    their key, cut into ``sure`` + 1 parts, one part of such a pair is the same.
     """
 
+    once = True
+
     def __init__(self, sure: int = SURE_BITS, together: int = 1):
         self.sure = sure
         edges = np.linspace(0, 128, sure + together + 1).astype(int)
@@ -172,9 +172,12 @@ def line_nodes(docs: DataFrame) -> DataFrame:
 
 
 def near_lines(nodes: DataFrame, similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b, distance) of the nodes whose fingerprints share a key and differ in at most max_bits bits, cut."""
-    blocks = Blocks(together=1 if nodes.count() <= ONE_BLOCK else 2)
-    return cut(near_pairs(nodes, blocks, most=max_bits, ratio=similarity))
+    """(a, b, distance) of the nodes whose fingerprints share a key and differ in at most max_bits bits, cut.
+
+    The keys are the same for any number of nodes, and all that share one are compared, so whether a pair is found depends
+    on its two lines alone; comparisons grow as the square of the nodes.
+    """
+    return cut(near_pairs(nodes, Blocks(), most=max_bits, ratio=similarity))
 
 
 def line_classes(docs: DataFrame, *, similarity: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
