@@ -140,6 +140,59 @@ def test_edit_distances_are_the_brute_force():
         assert (_edits.distances_within(x, y, most) == (want <= most)).all()
 
 
+def test_distances_take_as_long_as_the_edits_allowed():
+    """Long strings whose distance is far beyond the limit, or near it: the verdicts are exact, and a small limit spares most of the work."""
+    import time
+
+    from xylem.llm import _edits
+
+    rng, n = np.random.default_rng(3), 300
+    x = ["".join(rng.choice(list("abcdefgh"), 2500)) for _ in range(n)]
+    y = ["z" + a[1:-1] + "z" for a in x]
+    for k in range(0, n, 2):  # edits throughout in every other pair; the rest is another text
+        b = list(y[k])
+        for i in sorted(rng.integers(1, 2400, 40 + k // 8).tolist(), reverse=True):
+            b[i : i + int(rng.integers(0, 2))] = ["q"] * int(rng.integers(0, 2))
+        y[k] = "".join(b)
+    y = [b if k % 2 == 0 else "".join(rng.permutation(list(b))) for k, b in enumerate(y)]
+    want = np.array([_edits.distance(a, b) for a, b in zip(x, y, strict=True)])
+    assert want[0] == _plain(x[0], y[0]) and want[1] == _plain(x[1], y[1])
+    for k in (-1, 0, 60):
+        assert (_edits.distances_within(x, y, want + k) == (want <= want + k)).all()
+    took = []
+    for most in (100, 1900):
+        began = time.process_time()
+        assert (_edits.distances_within(x, y, np.full(n, most)) == (want <= most)).all()
+        took.append(time.process_time() - began)
+    assert took[0] < took[1] / 2
+
+
+def test_simhashes_are_counted_bit_by_bit():
+    from xylem.llm._words import simhashes
+
+    rng = np.random.default_rng(8)
+    for weighted, sizes in ((True, [1, 0, 17, 18, 4369, 4370, 9000, 0]), (False, [0, 255, 256, 65535, 65536, 3])):
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        h = rng.integers(0, 1 << 63, first[-1], dtype=np.uint64) * np.uint64(2) | np.uint64(rng.integers(0, 1 << 40))
+        weight = rng.integers(1, 16, len(h)) if weighted else np.ones(len(h), np.int64)
+        got = simhashes(h, first, 1, weight if weighted else None)[:, 0]
+        for k, (a, z) in enumerate(zip(first[:-1], first[1:], strict=True)):
+            w = weight[a:z]
+            assert int(got[k]) == sum(1 << b for b in range(64) if 2 * int(w[(h[a:z] >> np.uint64(b)) & np.uint64(1) == 1].sum()) > int(w.sum()))
+
+
+def test_line_texts_are_those_of_their_places(spark):
+    """Of a line that many texts hold, the first occurrence alone is read again; other separators than line feeds end no line."""
+    line = lambda k: f"Line {k}\r of \u2028 its\x0b own\x85 words"
+    rows = [(k, "\n".join(["", line(k), "the same line", line(k + 100), "--", ""])) for k in range(30)] + [(None, None), (99, "")]
+    docs = line_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    nodes = line_dedup.line_nodes(docs)
+    got = {r["node"]: r["line_text"] for r in line_dedup._line_texts(docs, nodes).collect()}
+    want = {r["node"]: r["_at"] for r in nodes.collect()}
+    texts = dict(rows)
+    assert len(got) == 61 and got == {n: " ".join(re.findall(r"\w+", texts[at["_id"]].split("\n")[at["line"]].lower())) for n, at in want.items()}
+
+
 def _plain(a, b):
     row = np.arange(len(b) + 1)
     codes = np.array([ord(c) for c in b], dtype=np.int64)

@@ -6,6 +6,8 @@ import numpy as np
 
 #: 64-bit words of a column that are handled at a time, so that they stay near the processor, and numbers in a table of characters.
 WORDS, TABLE = 1 << 13, 1 << 21
+#: Columns after which pairs that can't hold any more are looked for.
+LOOK = 64
 #: Pairs of like length up to which each is compared on its own.
 FEW = 12
 _ONE, _TOP = np.uint64(1), np.uint64(63)
@@ -30,16 +32,16 @@ def distances_within(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray
         if len(b) <= k or by_words(a, b, k) <= k:
             ok[i] = True
         elif a:
-            hard.append((-(-len(a) // 64), len(b), i, a, b))
+            hard.append((-(-len(a) // 64), k, i, a, b))
     hard.sort()
     at = 0
     while at < len(hard):
-        some = hard[at : at + max(1, WORDS // hard[at][0])]
+        some = hard[at : at + max(1, WORDS // min(hard[at][0], hard[at][1] // 64 + 2))]
         some = [h for h in some if h[0] <= hard[at][0] * 5 // 4]
         at += len(some)
         own = [h[2] for h in some]
         if len(some) > FEW:
-            far = _distances([h[3] for h in some], [h[4] for h in some])
+            far = _distances([h[3] for h in some], [h[4] for h in some], most[own])
         else:
             far = np.array([distance(h[3], h[4]) for h in some])
         ok[own] = far <= most[own]
@@ -124,11 +126,15 @@ def _middle(a: str, b: str) -> tuple[str, str]:
     return a[: len(a) - lo], b[: len(b) - lo]
 
 
-def _distances(x: list[str], y: list[str]) -> np.ndarray:
-    """Edit distances of the pairs.
+def _distances(x: list[str], y: list[str], most: np.ndarray) -> np.ndarray:
+    """Edit distances of the pairs (x no longer than y, by at most ``most``); above most, any number above it.
 
     Myers' columns of vertical differences, a number of 64 rows for each word of the longest x. At each step all pairs go
-    a column on, and each word is a column behind the one above it, so what that one carries down is there.
+    a column on, and each word is a column behind the one above it, so what that one carries down is there. Only words
+    that a path of at most ``most`` edits may cross are computed: one that comes in begins as if each of its rows were an
+    edit more than the row above it, and above the first, rows grow by an edit a column. Both are what some path costs, so
+    no distance is too small, and those of paths within are exact. Rows of x end with a word; those before its first
+    character have no differences. Pairs that are over, or whose every cell so far is beyond ``most``, are left out.
     """
     n = len(x)
     m, length = np.array([len(s) for s in x]), np.array([len(s) for s in y])
@@ -140,10 +146,12 @@ def _distances(x: list[str], y: list[str]) -> np.ndarray:
     kinds = int(table.sum())
     if n > 1 and n * kinds * words > 4 * TABLE:  # many kinds of characters: fewer pairs at a time
         k = n // 2
-        return np.concatenate([_distances(x[:k], y[:k]), _distances(x[k:], y[k:])])
+        return np.concatenate([_distances(x[:k], y[:k], most[:k]), _distances(x[k:], y[k:], most[k:])])
     table = np.cumsum(table) - 1
+    last = (m - 1) // 64
+    pad = 64 * (last + 1) - m
     row = np.repeat(np.arange(n), m)
-    at = np.arange(len(cx)) - np.repeat(np.cumsum(m) - m, m)
+    at = np.arange(len(cx)) - np.repeat(np.cumsum(m) - m - pad, m)
     peq = np.zeros(words * n * kinds, np.uint64)
     np.bitwise_or.at(peq, (at // 64) * (n * kinds) + row * kinds + table[cx], _ONE << (at % 64).astype(np.uint64))
     width = int(length.max())
@@ -152,15 +160,29 @@ def _distances(x: list[str], y: list[str]) -> np.ndarray:
     text += np.arange(n) * kinds
     begin = (np.arange(words) * (n * kinds))[:, None]
     p, q = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    p[0] <<= pad.astype(np.uint64)
     up, down = np.zeros((words + 1, n), np.uint64), np.zeros((words + 1, n), np.uint64)  # out of the word before, a step ago
-    up[0] = _ONE
-    score, last, bit = m.astype(np.int64), (m - 1) // 64, ((m - 1) % 64).astype(np.uint64)
+    score = np.zeros((words, n), np.uint64)  # of each word's last row
+    turn = (most - (length - m)) // 2  # edits that a path may stray from its diagonals, and come back
+    below, above = int((turn + pad).max()), int((length - m + turn - pad).max())
+    end = length - 1 + last
+    steps = set(end.tolist())
+    out, own = most + 1, np.arange(n)
+    lo = hi = 0
     for t in range(width + words - 1):
-        lo, hi = max(0, t - width + 1), min(words, t + 1)
+        was, had = lo, hi
+        lo, hi = max(0, t - width + 1, -((63 + above - t) // 65)), min(words, t + 1, (t + below + 63) // 65 + 1)
+        if lo >= hi:
+            break
+        if lo == was:
+            up[lo], down[lo] = _ONE, 0
+        if hi > had:
+            w = hi - 1
+            score[w] = score[w - 1] + np.uint64(64) - up[w] + down[w] if w else 64 - pad
         eq = peq.take(text[t - hi + 1 : t - lo + 1][::-1] + begin[lo:hi])
-        pv, above, below = p[lo:hi], up[lo:hi], down[lo:hi]
+        pv, over, under = p[lo:hi], up[lo:hi], down[lo:hi]
         v = eq | q[lo:hi]
-        eq |= below
+        eq |= under
         h = eq & pv
         h += pv
         h ^= pv
@@ -169,17 +191,27 @@ def _distances(x: list[str], y: list[str]) -> np.ndarray:
         np.invert(ph, out=ph)
         ph |= q[lo:hi]
         h &= pv  # where the row's differences are negative
-        here = np.flatnonzero((last >= lo) & (last < hi) & (t - last < length))
-        at_ = last[here] - lo
-        score[here] += ((ph[at_, here] >> bit[here]) & _ONE).astype(np.int64) - ((h[at_, here] >> bit[here]) & _ONE).astype(np.int64)
         nup, ndown = ph >> _TOP, h >> _TOP
+        score[lo:hi] += nup
+        score[lo:hi] -= ndown
         ph <<= _ONE
-        ph |= above
+        ph |= over
         h <<= _ONE
-        h |= below
+        h |= under
         np.bitwise_and(ph, v, out=q[lo:hi])
         v |= ph
         np.invert(v, out=v)
         np.bitwise_or(v, h, out=p[lo:hi])
         up[lo + 1 : hi + 1], down[lo + 1 : hi + 1] = nup, ndown
-    return score
+        if t in steps:
+            over_ = np.flatnonzero(end == t)
+            out[own[over_]] = score[last[over_], over_]
+        if t % LOOK == LOOK - 1 and hi <= t:  # a path's next cell follows one of these, or one beside the last row of a word
+            least = (score[lo:hi] - np.bitwise_count(p[lo:hi])).min(axis=0).view(np.int64) - 1
+            held = np.flatnonzero((end > t) & (least <= most))
+            if 4 * len(held) <= 3 * len(own):
+                if not len(held):
+                    break
+                own, most, last, end, pad, text = own[held], most[held], last[held], end[held], pad[held], text.take(held, axis=1)
+                p, q, up, down, score = (v.take(held, axis=1) for v in (p, q, up, down, score))
+    return out

@@ -117,14 +117,19 @@ _LANES = ((np.arange(256, dtype=np.uint64)[:, None] >> np.arange(8, dtype=np.uin
 _LANES = _LANES.sum(axis=1, dtype=np.uint64)
 
 
+_PAIRS = np.uint64(0x00FF00FF00FF00FF)
+
 #: Weights of a SimHash's features are below this.
 WEIGHTS = 16
+#: Sums of a byte that 16 bits hold.
+RUNS = 257
 
 
 def simhashes(hashes: np.ndarray, first: np.ndarray, words: int = 2, weight: np.ndarray | None = None) -> np.ndarray:
     """SimHash of each group of hashes, as ``words`` 64-bit numbers: a bit is set if more than half of the group's hashes, by weight, have it set.
 
-    Bits are counted eight to a 64-bit number, a byte each, over runs short enough for a byte.
+    Bits are counted eight to a 64-bit number, a byte each, over runs short enough for a byte; then four to a number, over
+    so many runs as 16 bits count; what is left are the few parts of long groups.
     """
     out = np.zeros((len(first) - 1, words), dtype=np.uint64)
     n = np.diff(first)
@@ -134,17 +139,28 @@ def simhashes(hashes: np.ndarray, first: np.ndarray, words: int = 2, weight: np.
     k = -(-n // run)
     begin = np.repeat(first[:-1] - run * (np.cumsum(k) - k), k) + run * np.arange(k.sum())
     used = np.flatnonzero(n)
-    starts = np.concatenate([[0], np.cumsum(k[used])])[:-1]
+    k = k[used]
+    parts = -(-k // RUNS)
+    heads = np.repeat(np.cumsum(k) - k - RUNS * (np.cumsum(parts) - parts), parts) + RUNS * np.arange(parts.sum())
     total = n[used] if weight is None else np.add.reduceat(weight, first[:-1][used])
     table = _LANES if weight is None else (_LANES[None, :] * np.arange(WEIGHTS, dtype=np.uint64)[:, None]).ravel()
-    row = None if weight is None else (weight << 8).astype(np.uint16)
+    row = None if weight is None else weight.astype(np.intp) << 8
+    at, lanes = np.empty(len(hashes), np.intp), np.empty(len(hashes), np.uint64)
+    count = np.empty((len(heads), 8 * words, 4, 2), np.uint16)
     for w in range(words):
         byte = (mix(hashes + np.array(w, np.uint64) * _BASE) if w else hashes).view(np.uint8).reshape(-1, 8)
         for b in range(8):
-            part = np.add.reduceat(table[byte[:, b] if row is None else row + byte[:, b]], begin)
-            count = np.add.reduceat(part.view(np.uint8).reshape(-1, 8).astype(np.int32), starts, axis=0)
-            bits = (2 * count > total[:, None]).astype(np.uint64)
-            out[used, w] |= (bits << (np.arange(8, dtype=np.uint64) + np.uint64(8 * b))).sum(axis=1, dtype=np.uint64)
+            if row is None:
+                at[:] = byte[:, b]
+            else:
+                np.add(row, byte[:, b], out=at)
+            part = np.add.reduceat(table.take(at, out=lanes, mode="clip"), begin)
+            for odd in range(2):
+                count[:, 8 * w + b, :, odd] = np.add.reduceat((part >> np.uint64(8 * odd)) & _PAIRS, heads).view(np.uint16).reshape(-1, 4)
+    flat = count.reshape(len(heads), 64 * words)
+    if len(heads) > len(used):
+        flat = np.add.reduceat(flat, np.cumsum(parts) - parts, axis=0, dtype=np.int64)
+    out[used] = np.packbits(flat > (total // 2)[:, None], axis=1, bitorder="little").view(np.uint64)
     return out
 
 

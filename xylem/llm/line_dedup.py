@@ -23,6 +23,8 @@ SURE_BITS = 11
 #: Lines that share a key are verified if at most so many of the 128 bits differ.
 MAX_BITS = 28
 FILTER_BITS = 1 << 24
+#: Spreads a line's number over the bits of a filter.
+SPREAD = 0x9E3779B1
 #: Characters of texts, and bytes of pairs of lines, that are handled at a time.
 PIECE, VERIFY_BYTES = 200_000, 3 << 24
 
@@ -133,21 +135,28 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def _line_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, line_text) of the nodes (node, _t0, k0, k1): texts are read again, of rows and lines that filters of fixed size let through."""
-    wanted = docs.filter(may_hold(bit_filter(nodes, "_t0", FILTER_BITS), F.col("_t0"), FILTER_BITS))
-    own = bit_filter(nodes, "k0", FILTER_BITS, hashed=True).toArrow().column(0).combine_chunks().values.to_numpy().view(np.uint64)
+    """(node, line_text) of the nodes (node, _at, k0, k1): texts are read again, of rows and lines in them that filters of fixed size let through."""
+    at = nodes.select(F.col("_at._t0").alias("_t0"), F.col("_at.line").cast("long").alias("_line"))
+    wanted = docs.filter(may_hold(bit_filter(at, "_t0", FILTER_BITS), F.col("_t0"), FILTER_BITS))
+    places = at.select(F.col("_t0").bitwiseXOR(F.col("_line") * F.lit(SPREAD)).alias("_place"))
+    own = bit_filter(places, "_place", FILTER_BITS, hashed=True).toArrow().column(0).combine_chunks().values.to_numpy().view(np.uint64)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in pieces([len(t) for t in texts], PIECE):
-                x = Lines(texts[lo:hi], prints=False)
-                bit = x.k0 & np.uint64(FILTER_BITS - 1)
+            texts, t0 = b.column(0).to_pylist(), b.column(1).to_numpy()
+            for lo, hi in pieces([len(t) for t in texts], 8 * PIECE):
+                parts = [t.split("\n") for t in texts[lo:hi]]
+                n = np.array([len(x) for x in parts], np.int64)
+                number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                bit = ((np.repeat(t0[lo:hi], n) ^ (number * SPREAD)) & (FILTER_BITS - 1)).astype(np.uint64)
                 held = np.flatnonzero((own[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
-                once = held[np.unique(x.k0[held], return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(x.k0[once].view(np.int64)), pa.array(x.k1[once].view(np.int64)), pa.array([x.normal(i) for i in once.tolist()], pa.string())], names=["k0", "k1", "line_text"])
+                lines = [line for x in parts for line in x]
+                lines = [lines[i] for i in held.tolist()]
+                for k, m in pieces([len(t) for t in lines], PIECE):
+                    x = Lines(lines[k:m], prints=False)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.k0.view(np.int64)), pa.array(x.k1.view(np.int64)), pa.array([x.normal(i) for i in range(len(x.k0))], pa.string())], names=["k0", "k1", "line_text"])
 
-    lines = wanted.select("_text").mapInArrow(split, "k0 long, k1 long, line_text string")
+    lines = wanted.select("_text", "_t0").mapInArrow(split, "k0 long, k1 long, line_text string")
     return nodes.select("node", "k0", "k1").join(lines, ["k0", "k1"]).dropDuplicates(["node"]).select("node", "line_text")
 
 
@@ -194,10 +203,11 @@ def line_classes(docs: DataFrame, *, similarity: float = SIMILARITY, max_bits: i
     release(spark)
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     where = fresh_path(spark, "lines")
-    _line_texts(docs, cut(nodes.join(used, "node", "left_semi").select("node", F.col("_at._t0").alias("_t0"), "k0", "k1"))).write.parquet(where)
+    own = cut(nodes.join(used, "node", "left_semi").select("node", "_at", "lines", "k0", "k1"))
+    _line_texts(docs, own).write.parquet(where)
     texts = spark.read.parquet(where)
     comp = linked(pairs, lambda p: edit_similar(p, texts, similarity))
-    fuzzy = nodes.select("node", "_at", "lines").join(comp, "node").groupBy("comp").agg(F.min("_at").alias("_at"), F.sum("lines").alias("class_lines"))
+    fuzzy = own.select("node", "_at", "lines").join(comp, "node").groupBy("comp").agg(F.min("_at").alias("_at"), F.sum("lines").alias("class_lines"))
     alone = nodes.join(comp, "node", "left_anti").select("_at", F.col("lines").alias("class_lines"))
     return alone.unionByName(fuzzy.select("_at", "class_lines")).select("_at.*", "class_lines")
 
@@ -213,8 +223,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     docs = keyed(df, id_col, text_col)
     stay = line_classes(docs, similarity=similarity, max_bits=max_bits).groupBy(*KEYED).agg(F.array_sort(F.collect_list("line")).alias("_stay"))  # of one text, so as large as it at most
     release(df.sparkSession)
-    repeated = cut(docs.groupBy(*KEYED).count().filter("count > 1").drop("count"))
-    if repeated.isEmpty():
+    again = lambda *keys: docs.groupBy(*keys).count().filter("count > 1").drop("count")
+    repeated = None if again("_id").isEmpty() else cut(again(*KEYED))  # texts are read only where ids repeat
+    if repeated is None or repeated.isEmpty():
         met = _with_stay(docs, stay)
     else:  # a hot row may make up any part of the table: the salted group gives one of its copies what stays
         at = F.struct(F.col("_id").isNull(), *KEYED)
