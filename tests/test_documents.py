@@ -4,6 +4,7 @@ import duckdb
 import pyarrow as pa
 import pytest
 import test_xml
+from pyspark.sql import functions as F
 
 from xylem import errors as X
 from xylem import queries as Q
@@ -14,6 +15,7 @@ from xylem.operators.documents import Documents
 from xylem.operators.xpath import extract, xpath
 from xylem.plans.ast import parse
 from xylem.plans.local import Local
+from xylem.schema import NODE_COLUMNS
 from xylem.sources import shred as S
 
 SF, LIBRARY = "/root/testdata/sf0.001", test_xml.LIBRARY
@@ -146,3 +148,17 @@ def test_few_files_are_spread_over_all_cores(spark):
         assert Q.QUERIES[name](spark, SF).rdd.getNumPartitions() >= cores
     many = spark.range(100, numPartitions=2 * cores)
     assert Q.spread(many) is many
+
+
+def test_a_node_table_is_changed_in_one_pass(spark, library):
+    """One exchange numbers it anew: no window, no join, and one copy kept."""
+    from unittest import mock
+
+    _, nodes = library
+    kept = []
+    with mock.patch.object(M, "settle", lambda df: kept.append(df) or df):
+        M.renumber(nodes.withColumn("_key", F.array(F.col("pre").cast("long"))))
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(kept) == 1 and plan.count("Exchange ") == 1 and "Window" not in plan and "Join" not in plan
+    rows = lambda df: sorted(map(str, df.select("doc_id", *NODE_COLUMNS).collect()))
+    assert rows(kept[0]) == rows(nodes)

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..errors import DocumentStructureError
-from ..schema import NODE_COLUMNS
+from ..schema import NODE_COLUMNS, NODE_FIELDS
+from ..sources.shred import STEP
+from ..sources.tree import numbered
 from ..storage import settle
 from ..validation import check_element_name
 
@@ -25,62 +26,49 @@ def remove(nodes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def renumber(nodes: DataFrame) -> DataFrame:
-    """Dense numbers for rows with ``_key`` (array<long>, the new order within a document); parent_pre refers to the old pre. Texts of elements are gathered anew."""
-    w = W.partitionBy("doc_id").orderBy("_key")
-    n = settle(nodes.withColumn("_new", (F.row_number().over(w) - 1).cast("int")))
-    of = n.select(F.col("doc_id").alias("_d"), F.col("pre").alias("_old"), F.col("_new").alias("_np"))
-    n = n.join(of, (F.col("doc_id") == F.col("_d")) & (F.col("parent_pre") == F.col("_old")), "left")
-    n = n.select("doc_id", F.col("_new").alias("pre"), "level", F.col("_np").alias("parent_pre"), "kind", "prefix", "local_name", "ns_uri", "value")
-    n = settle(n)
-    counts = _descendants(n.select("doc_id", "pre", "level"))
-    n = n.join(counts, ["doc_id", "pre"], "left").withColumn("size", F.coalesce("size", F.lit(0)).cast("int"))
-    counted = ~F.col("kind").isin("attribute", "namespace", "declaration", "doctype", "document")
-    n = n.withColumn("ord", F.when(counted, F.sum(F.when(counted, 1).otherwise(0)).over(W.partitionBy("doc_id", "parent_pre").orderBy("pre"))).cast("int"))
-    texts = n.filter("kind in ('text', 'cdata', 'entity_reference', 'element')").groupBy(F.col("doc_id").alias("_td"), F.col("parent_pre").alias("_tp")).agg(
-        F.max(F.when(F.col("kind") == "element", 1).otherwise(0)).alias("_has"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "value"))), lambda x: F.coalesce(x["value"], F.lit(""))), "").alias("_text")
-    )
-    n = n.join(texts, (F.col("doc_id") == F.col("_td")) & (F.col("pre") == F.col("_tp")), "left")
-    value = F.when(F.col("kind") == "element", F.when(F.coalesce("_has", F.lit(0)) == 0, F.coalesce("_text", F.lit("")))).otherwise(F.col("value"))
-    return settle(n.withColumn("value", value).select(*_ALL))
-
-
-def _descendants(up: DataFrame) -> DataFrame:
-    """(doc_id, pre, size): rows of a document pass in order, and each counts for those still open above it."""
-    kind = dict(up.dtypes)["doc_id"]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, pre, size, stack, last = [], [], [], [], object()
+    """Dense numbers for rows with ``_key`` (array<long>, the new order within a document): rows of a document pass in order, and their levels tell what holds what. Texts of elements are gathered anew."""
+    kind = dict(nodes.dtypes)["doc_id"]
+    kinds = [pa.int32()] * 4 + [pa.string()] * 5 + [pa.int32()]
 
-        def close(depth: int, at: int) -> None:
-            while stack and stack[-1][1] >= depth:
-                p, _ = stack.pop()
-                doc.append(last)
-                pre.append(p)
-                size.append(at - p - 1)
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: pa.DataType | None = None
+        last: object = None
+        held: list[list] = [[] for _ in range(6)]  # of the document that is being read
+        docs: list = []
+        out: list[list] = [[] for _ in kinds]
 
         def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(doc, ids), pa.array(pre, pa.int32()), pa.array(size, pa.int32())], names=["doc_id", "pre", "size"])
-            doc.clear(), pre.clear(), size.clear()
-            return out
+            made = pa.RecordBatch.from_arrays([pa.array(docs, ids), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=_ALL)
+            for c in (docs, *out):
+                c.clear()
+            return made
+
+        def document() -> Iterator[pa.RecordBatch]:
+            columns = numbered(*held).columns()
+            for c in held:
+                c.clear()
+            for low in range(0, len(columns[0]), STEP):
+                for c, values in zip(out, columns, strict=True):
+                    c += values[low : low + STEP]
+                docs.extend([last] * (len(out[0]) - len(docs)))
+                if len(docs) >= STEP:
+                    yield batch()
 
-        ids, p = None, -1
         for b in batches:
             ids = b.schema.field(0).type
-            for d, p_, level in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if d != last:
-                    close(-1, p + 1)
-                    last = d
-                close(level, p_)
-                stack.append((p_, level))
-                p = p_
-            if len(doc) > 50_000:
-                yield batch()
-        if ids is not None:
-            close(-1, p + 1)
+            for d, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held[0] and d != last:
+                    yield from document()
+                last = d
+                for c, v in zip(held, row, strict=True):
+                    c.append(v)
+        if held[0]:
+            yield from document()
+        if docs:
             yield batch()
 
-    ordered = up.repartition("doc_id").sortWithinPartitions("doc_id", "pre")
-    return ordered.mapInArrow(count, f"doc_id {kind}, pre int, size int")
+    rows = nodes.select("doc_id", "level", "kind", "prefix", "local_name", "ns_uri", "value", "_key").repartition("doc_id").sortWithinPartitions("doc_id", "_key").drop("_key")
+    return settle(rows.mapInArrow(number, f"doc_id {kind}, " + ", ".join(f"{n} {t.simpleString()}" for n, t in NODE_FIELDS)))
 
 
 def insert(nodes: DataFrame, targets: DataFrame, new: DataFrame, where: str = "last") -> DataFrame:
